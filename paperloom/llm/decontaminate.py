@@ -66,13 +66,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     than five words is one shingle and matches only a document of the same
     words.  Repeated rows give one row.  Other columns are ignored.
     """
-    items = _shingled(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("ws"))).where("size(hs) > 0").dropDuplicates()
-    items = cut(items.select("item_id", F.col("hs").alias("item"), F.size("hs").alias("n"), simhash("hs").alias("print")), "items")
+    items = _shingled(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("ws"))).dropDuplicates()
+    items = cut(items.select("item_id", F.col("hs").alias("item"), F.size("hs").alias("n"), simhash("hs").alias("print")), "items").where("n > 0")
     seeds = items.select("item_id", "item", "n", F.explode(F.array_distinct("item")).alias("h"))
     rows = seeds.count()
     parts = max(1, -(-rows // BROADCAST_ROWS))
     shingled = _shingled(docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("ws")))
-    placed = shingled.select("doc_id", "hs", F.posexplode("hs").alias("at", "h"))
+    # the outer form, as the plain one adds a filter that computes hs once more
+    placed = shingled.select("doc_id", "hs", F.posexplode_outer("hs").alias("at", "h"))
 
     def seeded(part: int) -> DataFrame:
         block = seeds if parts == 1 else seeds.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(parts)) == part)
