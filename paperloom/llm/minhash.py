@@ -168,7 +168,7 @@ def _needed(docs: DataFrame, ids: DataFrame, wide: bool) -> DataFrame:
 
 def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = cut(_needed(docs, ids, wide=False), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("value").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("value").alias("right")), "b")
     return joined.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
@@ -221,7 +221,7 @@ def _bucket_pairs(docs: DataFrame, members: DataFrame, labels: DataFrame) -> Dat
     mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
     rows = cut(others.join(mixed.select("bucket", slices.alias("g")), "bucket"), "mixed")
-    sketches = cut(_needed(docs, rows.select("id").distinct(), wide=True), "wide")
+    sketches = cut(_needed(docs, cut(rows.select("id").distinct(), "ids"), wide=True), "wide")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     sided = rows.select("bucket", "id", "component", F.col("s"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     tiles = sided.select("bucket", "id", "component", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.when(F.col("s") == F.col("o"), 2).when(F.col("s") < F.col("o"), 0).otherwise(1).alias("side"))
@@ -274,5 +274,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that have a smaller one in their group."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

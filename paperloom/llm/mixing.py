@@ -45,6 +45,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levelled.withColumn("final", final["level"]).select("key", "source_size", F.when(F.col("capped") | F.col("final").isNull(), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("final")).alias("target"))
 
 
+def _drawn(docs: DataFrame, carried: list[Column], weights: tuple[int, ...], share: float, repeats: int, seed: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(*carried, "doc_id", "source", size.alias("size"), F.coalesce(quality_weight(F.col("text")), F.lit(0.1)).alias("quality"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    rows = rows.withColumn("key", source_key(F.col("source")))
+    if not carried:
+        rows = cut(rows, "mix")
+    # a row for each source, in a file: the planner sees its size and joins accordingly
+    targets = cut(source_targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, repeats), "targets")
+    u = (seeded(seed, F.col("doc_id"), F.col("crc")) + F.lit(0.5)) / F.lit(float(1 << 60))
+    rows = rows.withColumn("draw", -F.log(u) / F.col("quality"))
+    rows = rows.withColumn("bucket", F.floor(F.log1p(F.col("draw") * 4) * 512).cast("int"))
+    order = [F.col(c) for c in ("draw", "doc_id", "crc", "size")]
+    out = running_sum(rows, ["key"], "bucket", order, F.col("size"), "before").join(targets, "key")
+    out = out.withColumn("goal", F.floor(F.col("target") + F.lit(0.5)))
+    out = out.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0)).cast("long"))
+    left = F.col("goal") - F.col("epochs") * F.col("source_size")
+    return out.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before"))).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, part, taken of each row of ``docs``.
 
@@ -59,18 +78,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     source of its own, last.  Repeated rows are drawn one by one.  Other columns
     are ignored.  Reruns agree.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce(quality_weight(F.col("text")), F.lit(0.1)).alias("quality"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
-    rows = cut(rows.withColumn("key", source_key(F.col("source"))), "mix")
-    targets = source_targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    u = (seeded(seed, F.col("doc_id"), F.col("crc")) + F.lit(0.5)) / F.lit(float(1 << 60))
-    rows = rows.withColumn("draw", -F.log(u) / F.col("quality"))
-    rows = rows.withColumn("bucket", F.floor(F.log1p(F.col("draw") * 4) * 512).cast("int"))
-    order = [F.col(c) for c in ("draw", "doc_id", "crc", "size")]
-    summed = running_sum(rows, ["key"], "bucket", order, F.col("size"), "before")
-    out = summed.join(targets, "key")
-    goal = F.floor(F.col("target") + F.lit(0.5))
-    out = out.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as long) div source_size")).otherwise(F.lit(0)))
-    left = goal - F.col("epochs") * F.col("source_size")
-    out = out.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before"))).cast("long"))
-    return out.select("doc_id", "source", "size", "crc", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "part", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    out = _drawn(docs, [], weights, share, repeats, seed)
+    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def draw_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: a row for each epoch and one for
+    the partial pass.  A text at the cut ends after its last word taken (n_chars, if there,
+    follows).  Rows of size 0 give no row."""
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    out = _drawn(docs, [F.struct(*docs.columns).alias("row")], weights, share, repeats, seed)
+    copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0))
+    rows = out.where(copies > 0).select("row", "size", "part", "epochs", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
+    pieces = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("part").cast("int"))
+    short = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    rows = rows.withColumn("text", F.when(short, F.regexp_replace(F.array_join(pieces, ""), r"[\x20\x09-\x0D]+$", "")).otherwise(F.col("row.text")))
+    chosen = {"text": F.col("text"), "n_chars": F.when(short, F.length("text").cast(kind)).otherwise(F.col("row.n_chars")) if kind else None}
+    return rows.select(*[chosen[c].alias(c) if chosen.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns])

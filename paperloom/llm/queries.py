@@ -42,8 +42,52 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "epochs")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.tokencount import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.spans import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 asks; all documents answer."""
+    from paperloom.llm.search import search
+
+    documents = table(spark, sf_dir, "documents")
+    return search(documents, documents.where("doc_id % 20 = 0")).withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_chat_formatting, op4_benchmark_decontamination, op5_sharding, op8_mixing)
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_toxicity,
+        op3_chat_formatting,
+        op4_benchmark_decontamination,
+        op5_sharding,
+        op6_language_id,
+        op7_token_counts,
+        op8_mixing,
+        op9_substring_dedup,
+        op10_topk_search,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
