@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import vectext as V
@@ -25,12 +25,19 @@ SAMPLE = 4000
 #: Least log-likelihood ratio of a term against chance (a p-value of about one in ten million).
 SIGNIFICANT = 28.0
 #: Trust below which a kind of match says too little and is ignored.
-LEAST_TRUST = 0.5
+LEAST_TRUST = 0.6
+#: Share of a term's trust that a misspelling never seen in training gets, and from how many
+#: letters on it gets the greater one (long terms have hardly any neighbours).
+UNSEEN, UNSEEN_LONG, LONG_LETTERS = 0.65, 0.85, 8
 #: Share of toxic documents, classes weighed alike, from which a term is in the lexicon.
 PRECISION = 0.95
 #: Terms and stems of the lexicon at most (those in the most toxic documents).
 LEXICON = 2000
 STEM_LETTERS = (4, 5, 6, 7)
+#: Different words that a stem must have in toxic documents.
+STEM_FORMS = 5
+#: Marks a stem among counted words.
+STEM = "*"
 #: Letters from which one edit is allowed; fewer leave too many neighbours.
 EDIT_LETTERS = 5
 #: Words on either side that make up a match's context.
@@ -233,16 +240,33 @@ def _scorer(model: Model):
     return scores
 
 
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """One of each class's near copies: else the words of an often copied text would pass for
+    toxic.  A text stays if it has the least doc_id for each of three least hashes of its
+    three-word runs."""
+    split = texts.withColumn("w", F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
+    run = "xxhash64({0}, get(w, i), get(w, i + 1), get(w, i + 2))"
+    for k in range(3):
+        split = split.withColumn(f"m{k}", F.expr(f"array_min(transform(sequence(0, greatest(size(w) - 3, 0)), i -> {run.format(k)}))"))
+    for k in range(3):
+        split = split.withColumn(f"first{k}", F.min("doc_id").over(Window.partitionBy("toxic", f"m{k}")))
+    return split.where(" and ".join(f"doc_id = first{k}" for k in range(3))).select("doc_id", "text", "toxic")
+
+
 def _word_counts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """word, toxic, clean: sampled training documents of each class that hold the word."""
+    """word, toxic, clean: sampled training documents of each class that hold the word (or,
+    with STEM behind it, a longer word that begins so)."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = usable.groupBy("toxic").agg(F.count("*").alias("of"))
     drawn = usable.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).join(F.broadcast(sizes), "toxic").where(F.col("draw") * F.col("of") < F.lit(sample << 20))
     # two classes of about `sample` rows: small, whatever the tables
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id")
+    texts = _without_copies(cut(texts, "labelled"))
     edges = "[" + "".join("\\" + c for c in _EDGES) + "]+"
     tokens = F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, f"^{edges}|{edges}$", ""))
-    words = texts.select("toxic", F.explode(F.array_distinct(tokens)).alias("word")).where("word <> ''")
+    tokens = F.array_distinct(tokens)
+    stems = F.flatten(F.transform(tokens, lambda w: F.when(w.rlike(r"^\p{L}+$"), F.filter(F.array(*[F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit(STEM))) for n in STEM_LETTERS]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))))
+    words = texts.select("toxic", F.explode(F.array_union(tokens, stems)).alias("word")).where("word <> ''")
     return cut(words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "words")
 
 
@@ -271,8 +295,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return [r[0] for r in df.where((share >= PRECISION) & (ratio >= SIGNIFICANT)).orderBy(F.desc("toxic"), "word").limit(LEXICON).collect()]
 
     letters = counts.where(F.col("word").rlike(r"^\p{L}+$"))
-    prefixes = letters.select(F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LETTERS])).alias("word"), "toxic", "clean").where("word is not null")
-    stems = sorted(good(prefixes.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms")).where("forms >= 3")))
+    forms = letters.where("toxic > 0").select(F.explode(F.array(*[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit(STEM))) for n in STEM_LETTERS])).alias("word")).where("word is not null").groupBy("word").count().where(F.col("count") >= STEM_FORMS)
+    stems = sorted(w[: -len(STEM)] for w in good(counts.where(F.col("word").rlike(r"^\p{L}+\*$")).join(forms, "word", "left_semi")))
     stems = [s for s in stems if not any(s != p and s.startswith(p) for p in stems)]
     terms = [w for w in good(letters) if not any(w.startswith(s) for s in stems)]
 
@@ -286,14 +310,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([found[i].term for i in keep], pa.string()), pa.array([found[i].kind for i in keep], pa.int32()), part.column(1), part.column(2)], names=["term", "kind", "toxic", "clean"])
 
     # a term's exact, misspelled and stem matches: three rows for each lexicon entry at most
-    seen = counts.select("word", "toxic", "clean").mapInArrow(matched, "term string, kind int, toxic long, clean long").groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = counts.where(~F.col("word").endswith(STEM)).select("word", "toxic", "clean").mapInArrow(matched, "term string, kind int, toxic long, clean long").groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     trust = {}
     for r in seen.collect():
         t, c = r["toxic"], r["clean"] * weight
         sure = (t + 0.05) / (t + c + 0.1)
         trust[r["term"], r["kind"]] = sure if sure >= LEAST_TRUST else 0.0
-    for term in terms:  # an edit never seen in training: the term's own trust, less a little
-        trust.setdefault((term, 1), 0.85 * trust.get((term, 0), 0.5))
+    for term in terms:  # an edit never seen in training
+        share_of = UNSEEN_LONG if len(term) >= LONG_LETTERS else UNSEEN
+        trust.setdefault((term, 1), share_of * trust.get((term, 0), 0.5))
     return Model(terms, stems, trust)
 
 
