@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.plans import quality_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (quality_queries,):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
