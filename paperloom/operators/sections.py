@@ -133,19 +133,22 @@ def chunk_sections(sections: DataFrame, key: str = "doc_id", limit: int = S.CHUN
     return rows.select(key, number.alias("chunk_id"), "section", "text", F.length("text").alias("char_count"), word_count(F.col("text")).alias("word_count"), "section_confidence")
 
 
-def number_batches(chunks: DataFrame, order: list[str], size: int = S.CHUNK_BATCH) -> DataFrame:
-    """Add batch: the number of the thousand that a chunk falls in, in global order.
+def number_batches(chunks: DataFrame, key: str, then: str, size: int = S.CHUNK_BATCH, ranges: int = 256) -> DataFrame:
+    """Add batch: the number of the thousand that a chunk falls in, by (key, then).
 
-    Ranks are built from per-range counts: rows are range-partitioned, counted,
-    and numbered inside their partition, so no task sees all rows.
+    ``key`` is numeric.  Its quantiles cut the rows into ordered ranges (literals
+    in the plan, so every pass cuts alike); ranges are counted, and rows are
+    numbered inside their range, so no task sees all rows.
     """
-    parts = chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    spread = chunks.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = spread.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = inside.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    out = inside.join(F.broadcast(starts), "_part")
-    return out.withColumn("batch", F.floor((F.col("_start") + F.col("_in") - 1) / size).cast("int")).drop("_part", "_in", "_start")
+    shares = [k / ranges for k in range(1, ranges)]
+    bounds = chunks.agg(F.percentile_approx(key, shares, 1000).alias("b")).first()["b"] or []
+    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
+    ranged = chunks.withColumn("_range", F.size(F.filter(cuts, lambda b: b < F.col(key))))
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(key, then)))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    out = inside.join(F.broadcast(starts), "_range")
+    return out.withColumn("batch", F.floor((F.col("_start") + F.col("_in") - 1) / size).cast("int")).drop("_range", "_in", "_start")
 
 
 def simple_sections(papers: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
