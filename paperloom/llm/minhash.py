@@ -84,6 +84,7 @@ def band_hashes(coordinates: np.ndarray) -> np.ndarray:
     return V.mix64(total + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+assert ROWS == 4, "a band's coordinates, one byte each, are compared as one 32-bit word"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
@@ -191,10 +192,16 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one tile that lie in different components and whose wide sketches agree."""
+    """Pairs of one tile that lie in different components and whose wide sketches agree.
+
+    A pair that also agrees in an earlier band was met there (or settled with a
+    hub), so every pair is named once.
+    """
     ids, comps = table.column("id").to_numpy(), table.column("component").to_numpy()
     side = table.column("side").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("value").to_pylist()), np.uint8).reshape(len(ids), WIDE)
+    bands = np.ascontiguousarray(sketch[:, :COORDINATES]).view(np.uint32)
+    earlier = bands[:, : table.column("band")[0].as_py()] if len(ids) else bands
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -204,6 +211,7 @@ def _tile_pairs(table: pa.Table) -> pa.Table:
             js = js[js > i]
         if len(js):
             js = js[(sketch[js] == sketch[i]).sum(axis=1) >= WIDE_ESTIMATE * WIDE]
+            js = js[~(earlier[js] == earlier[i]).any(axis=1)]
             b.append(ids[js])
             a.append(np.full(len(js), ids[i]))
     x, y = np.concatenate(a), np.concatenate(b)
@@ -217,14 +225,14 @@ def _bucket_pairs(docs: DataFrame, members: DataFrame, labels: DataFrame) -> Dat
     more than TILE members is cut into slices and compared slice by slice, so
     no task holds more than two slices.
     """
-    others = members.where("n > 2 and id <> hub").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    others = members.where("n > 2 and id <> hub").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
     rows = cut(others.join(mixed.select("bucket", slices.alias("g")), "bucket"), "mixed")
     sketches = cut(_needed(docs, cut(rows.select("id").distinct(), "ids"), wide=True), "wide")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    sided = rows.select("bucket", "id", "component", F.col("s"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    tiles = sided.select("bucket", "id", "component", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.when(F.col("s") == F.col("o"), 2).when(F.col("s") < F.col("o"), 0).otherwise(1).alias("side"))
+    sided = rows.select("bucket", "band", "id", "component", F.col("s"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    tiles = sided.select("bucket", "band", "id", "component", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.when(F.col("s") == F.col("o"), 2).when(F.col("s") < F.col("o"), 0).otherwise(1).alias("side"))
     return tiles.join(sketches, "id").groupBy("bucket", "i", "j").applyInArrow(_tile_pairs, "a long, b long").distinct()
 
 
@@ -253,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = usable.join(classes, "set_key").where("doc_id = class_id")
     sketches = cut(reps.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"]), "sketches")
 
-    banded = sketches.select("id", F.explode("bands").alias("bucket"))
+    banded = sketches.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = cut(banded.join(buckets, "bucket"), "members")
     slim = sketches.select("id", "sketch")
