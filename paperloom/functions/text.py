@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paperloom import settings as S
 
@@ -27,7 +28,7 @@ FIGURE = r"(?i)(?:Figure|Table|Fig\.|Tab\.)\s*\d+[:.]?\s*[^\n]*"
 HYPHEN = rf"(?<!{WORDCHAR})(\p{{L}}+)-\s*\n\s*(\p{{L}}+)(?!{WORDCHAR})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))

@@ -104,8 +104,14 @@ class Store:
 def read_json_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Papers and chunks of a dataset kept as one JSON object (gzip by file name)."""
     whole = spark.read.option("multiLine", True).json(path)
-    explode = lambda c: whole.select(F.explode(c).alias("x")).select("x.*") if c in whole.columns else spark.createDataFrame([], "arxiv_id string")
-    return explode("papers"), explode("chunks")
+
+    def rows(part: str) -> DataFrame:
+        kinds = dict(whole.dtypes)
+        if not kinds.get(part, "").startswith("array<struct"):  # missing or empty
+            return spark.createDataFrame([], "arxiv_id string")
+        return whole.select(F.explode(part).alias("x")).select("x.*")
+
+    return rows("papers"), rows("chunks")
 
 
 def write_json(df: DataFrame, path: str) -> None:
