@@ -48,7 +48,7 @@ def weighted_similarity(a: str, b: str) -> Column:
     """Sum of the lesser over sum of the greater weights of all shingles of two arrays."""
     count = "size(filter({0}, y -> y = x))"
     pair = f"aggregate(array_union({a}, {b}), named_struct('lo', 0, 'hi', 0), (s, x) -> named_struct('lo', s.lo + least({count.format(a)}, {count.format(b)}), 'hi', s.hi + greatest({count.format(a)}, {count.format(b)})))"
-    return F.expr(f"transform(array({pair}), p -> p.lo / p.hi)[0]")
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.expr(f"transform(array({pair}), p -> p.lo / p.hi)[0]"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
