@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import held_out, small_batches
+from paperloom.llm.common import cut, held_out, small_batches
 
 #: Most frequent n-grams of a profile, and of a document.
 PROFILE = 300
@@ -77,7 +77,8 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE, most: int = PROFILE) -
     """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("of"))
+    # a row for each language, in a file: the planner sees its size, and no text is shuffled
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("of")), "languages")
     drawn = labelled.join(sizes, "lang").where(F.col("draw") * F.col("of") < F.lit(sample << 20)).select("lang", "text")
     grams = drawn.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= most)
