@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
-from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +17,11 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Terms of a query: those of the query row's whole text that weigh most.
 QUERY_TERMS = 25
-#: Postings of a shard, about.
-SHARD_POSTINGS = 400_000
-#: Postings of a block, which carries its greatest impact.
-BLOCK = 64
+#: Postings of a shard, about, and queries that a task runs on it.
+SHARD_POSTINGS = 1_000_000
+QUERY_BLOCK = 20_000
+#: Documents of a block, whose greatest impacts are kept; blocks of the first wave.
+BLOCK, WAVE = 64, 16
 #: Bits of the filter of query terms that thins postings before the exact join (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -98,104 +97,88 @@ def _filter_words(terms: DataFrame) -> np.ndarray:
 
 
 class ShardIndex:
-    """Postings lists of one shard, each in blocks with their greatest impact."""
-
-    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
-        order = np.lexsort((doc, term))
-        term, doc, impact = term[order], doc[order], impact[order]
-        fresh = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
-        ends = np.concatenate((fresh[1:], [len(term)])).astype(np.int64)
-        self._doc, self._impact = doc, impact
-        self._range = dict(zip(term[fresh].tolist(), zip(fresh.tolist(), ends.tolist())))
-
-    def cursor(self, term: int, weight: float) -> Cursor | None:
-        place = self._range.get(term)
-        if place is None:
-            return None
-        a, b = place
-        return Cursor(self._doc[a:b].tolist(), self._impact[a:b].tolist(), weight)
-
-
-class Cursor:
-    """A place in one postings list."""
-
-    def __init__(self, docs: list[int], impacts: list[float], weight: float) -> None:
-        self.docs, self.impacts, self.weight, self.at = docs, impacts, weight, 0
-        self.block_last = docs[BLOCK - 1 :: BLOCK]
-        self.block_max = [weight * max(impacts[i : i + BLOCK]) for i in range(0, len(docs), BLOCK)]
-        if len(self.block_last) < len(self.block_max):
-            self.block_last.append(docs[-1])
-        self.most = max(self.block_max)
-
-    def doc(self) -> int | None:
-        return self.docs[self.at] if self.at < len(self.docs) else None
-
-    def skip_to(self, doc: int) -> None:
-        self.at = bisect_left(self.docs, doc, self.at)
-
-    def block(self, doc: int) -> int:
-        return bisect_left(self.block_last, doc)
+    """Postings lists of one shard in blocks of documents.
 
+    A block is BLOCK documents in id order.  Every (term, block) that has
+    postings is an entry with its place and its greatest impact.
+    """
 
-def wand(cursors: list[Cursor], k: int) -> list[tuple[float, int]]:
+    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
+        self.ids, place = np.unique(doc, return_inverse=True)
+        order = np.lexsort((place, term))
+        term, self.place, self.impact = term[order], place[order], impact[order]
+        n = len(term)
+        block = self.place // BLOCK
+        fresh = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if n else np.zeros(0, np.int64)
+        self.entry = np.concatenate((fresh, [n])).astype(np.int64)
+        self.block = block[fresh]
+        self.greatest = np.maximum.reduceat(self.impact, fresh) if n else np.zeros(0)
+        heads = np.flatnonzero(np.concatenate(([True], term[fresh][1:] != term[fresh][:-1]))) if n else np.zeros(0, np.int64)
+        self.terms = term[fresh][heads]
+        self.first = np.concatenate((heads, [len(fresh)])).astype(np.int64)
+        self.blocks = int(block.max()) + 1 if n else 0
+
+    def entries(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the query's terms, in term order, and the weight of each."""
+        at = np.searchsorted(self.terms, terms)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == terms[known]
+        at = at[known]
+        counts = self.first[at + 1] - self.first[at]
+        return _ranges(self.first[at], counts), np.repeat(weights[known], counts)
+
+    def scores(self, entries: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and exact scores of all documents in the entries."""
+        counts = self.entry[entries + 1] - self.entry[entries]
+        postings = _ranges(self.entry[entries], counts)
+        places, at = np.unique(self.place[postings], return_inverse=True)
+        return places, np.bincount(at, weights=np.repeat(weights, counts) * self.impact[postings], minlength=len(places))
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + count[0] - 1, start[1] .. and so on."""
+    if not len(count):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(count)
+    return np.arange(ends[-1]) + np.repeat(start - ends + count, count)
+
+
+def wand(index: ShardIndex, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
     """The k documents of greatest score (ties: least id), best first.
 
-    Block-max WAND: the pivot is the first document that the lists' greatest
-    impacts could lift to the k-th best score; its blocks' greatest impacts are
-    asked next, and all blocks are left together if they can't.
+    A block's bound is the sum of its entries' greatest weighted impacts.
+    Blocks are scored in waves, greatest bound first; once k documents are
+    known, a block whose bound lies below the k-th score is never opened.
     """
-    order = {id(c): i for i, c in enumerate(cursors)}
-    heap: list[tuple[float, int]] = []  # (score, -doc): the worst first
-    live = [c for c in cursors if c.doc() is not None]
-    slack = 1e-9  # sums in another order differ by less; bounds never cut a tie
-    while live:
-        live.sort(key=Cursor.doc)
-        floor = heap[0][0] - slack if len(heap) == k else -1.0
-        bound, pivot = 0.0, None
-        for i, c in enumerate(live):
-            bound += c.most
-            if bound >= floor:
-                pivot = i
+    entries, w = index.entries(terms, weights)
+    if not len(entries):
+        return []
+    blocks = index.block[entries]
+    bounds = np.bincount(blocks, weights=w * index.greatest[entries], minlength=index.blocks)
+    order = np.argsort(-bounds, kind="stable")[: int((bounds > 0).sum())]
+    places, scores = np.zeros(0, np.int64), np.zeros(0)
+    done, wave = 0, WAVE
+    while done < len(order):
+        part = order[done : done + wave]
+        if len(scores) >= k:
+            # bounds add in another order than scores: the slack never cuts a tie
+            part = part[bounds[part] >= np.partition(scores, len(scores) - k)[len(scores) - k] * (1 - 1e-9) - 1e-9]
+            if not len(part):
                 break
-        if pivot is None:
-            break
-        doc = live[pivot].doc()
-        while pivot + 1 < len(live) and live[pivot + 1].doc() == doc:
-            pivot += 1
-        block_bound, border = 0.0, None
-        for c in live[: pivot + 1]:
-            b = c.block(doc)
-            if b < len(c.block_max):
-                block_bound += c.block_max[b]
-                border = c.block_last[b] if border is None else min(border, c.block_last[b])
-        if block_bound >= floor:
-            if live[0].doc() == doc:
-                matched = sorted(live[: pivot + 1], key=lambda c: order[id(c)])
-                score = 0.0
-                for c in matched:
-                    score += c.weight * c.impacts[c.at]
-                    c.at += 1
-                item = (score, -doc)
-                if len(heap) < k:
-                    heappush(heap, item)
-                elif item > heap[0]:
-                    heapreplace(heap, item)
-            else:
-                for c in live[:pivot]:
-                    if c.doc() < doc:
-                        c.skip_to(doc)
-        else:
-            target = doc + 1 if border is None else border + 1
-            if pivot + 1 < len(live):
-                target = min(target, live[pivot + 1].doc())
-            target = max(target, doc + 1)
-            for c in live[: pivot + 1]:
-                c.skip_to(target)
-        live = [c for c in live if c.doc() is not None]
-    return [(s, -d) for s, d in sorted(heap, key=lambda x: (-x[0], -x[1]))]
-
-
-def _search_shard(key, postings: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+        chosen = np.zeros(index.blocks, dtype=bool)
+        chosen[part] = True
+        mine = chosen[blocks]
+        p, s = index.scores(entries[mine], w[mine])
+        places, scores = np.concatenate((places, p)), np.concatenate((scores, s))
+        if len(scores) > k:
+            best = np.lexsort((places, -scores))[:k]
+            places, scores = places[best], scores[best]
+        done, wave = done + wave, wave * 2
+    best = np.lexsort((places, -scores))
+    return list(zip(scores[best].tolist(), index.ids[places[best]].tolist()))
+
+
+def _search_shard(postings: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     index = ShardIndex(*(postings.column(c).to_numpy() for c in ("term", "id", "impact")))
     ids, terms, weights = (queries.column(c).to_numpy() for c in ("query_id", "term", "weight"))
     order = np.lexsort((terms, ids))
@@ -203,11 +186,10 @@ def _search_shard(key, postings: pa.Table, queries: pa.Table, k: int) -> pa.Tabl
     edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
     out_q, out_d, out_s = [], [], []
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)]):
-        cursors = [c for t, w in zip(terms[a:b].tolist(), weights[a:b].tolist()) if (c := index.cursor(t, w)) is not None]
-        for score, doc in wand(cursors, k):
-            out_q.append(int(ids[a]))
-            out_d.append(doc)
-            out_s.append(score)
+        found = wand(index, terms[a:b], weights[a:b], k)
+        out_q += [int(ids[a])] * len(found)
+        out_d += [d for _, d in found]
+        out_s += [x for x, _ in found]
     return pa.table([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "doc_id", "score"])
 
 
@@ -252,15 +234,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     thin = usable.mapInArrow(lambda batches: _postings(batches, shared.value), "id long, term long, tf int, length int")
     impact = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean)))
     postings = cut(thin.withColumn("impact", impact).join(wanted, "term", "left_semi").select("term", "id", "impact").dropDuplicates(["term", "id"]), "postings")
-    shards = max(1, math.ceil(postings.count() / SHARD_POSTINGS))
-    shards = max(shards, spark.sparkContext.defaultParallelism)
+    shards = max(spark.sparkContext.defaultParallelism, math.ceil(postings.count() / SHARD_POSTINGS))
+    blocks = max(1, math.ceil(picked.select("query_id").distinct().count() / QUERY_BLOCK))
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     places = dealt.select("term", F.col("shard").alias("place")).distinct()
-    routed = picked.join(places, "term").select("place", "query_id", "term", "weight")
+    routed = picked.join(places, "term").select("place", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("part"), "query_id", "term", "weight")
+    # postings once for each block of queries: a task holds one shard and one block
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def shard_search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search_shard(key, left, right, k)
+    def shard_search(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _search_shard(left, right, k)
 
-    found = dealt.groupBy("shard").cogroup(routed.groupBy("place")).applyInArrow(shard_search, "query_id long, doc_id long, score double")
+    found = dealt.groupBy("shard", "block").cogroup(routed.groupBy("place", "part")).applyInArrow(shard_search, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -343,5 +343,7 @@ def test_block_max_wand():
         for docs, values, w in zip(lists, impacts, weights):
             for d, v in zip(docs, values):
                 scores[d] += w * v
-        found = search.wand([search.Cursor(a, b, w) for a, b, w in zip(lists, impacts, weights)], 10)
+        terms = np.arange(len(lists)) * 7
+        index = search.ShardIndex(*(np.concatenate(x) for x in ([np.full(len(d), t) for t, d in zip(terms, lists)], lists, impacts)))
+        found = search.wand(index, np.append(terms, 5), np.append(weights, 1.0), 10)
         assert [(d, round(s, 9)) for s, d in found] == [(d, round(s, 9)) for d, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]]
