@@ -22,7 +22,7 @@ SHARD_POSTINGS = 1_000_000
 QUERY_BLOCK = 20_000
 #: Documents of a block, whose greatest impacts are kept; blocks of the first wave.
 BLOCK, WAVE = 64, 16
-#: Bits of the filter of query terms that thins postings before the exact join (16 MB).
+#: Bits of the filter of query terms that thins postings (16 MB).
 FILTER_BITS = 1 << 27
 
 
@@ -105,7 +105,8 @@ class ShardIndex:
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
         self.ids, place = np.unique(doc, return_inverse=True)
-        order = np.lexsort((place, term))
+        order = np.lexsort((-impact, place, term))
+        order = order[np.concatenate(([True], (term[order][1:] != term[order][:-1]) | (place[order][1:] != place[order][:-1])))] if len(order) else order
         term, self.place, self.impact = term[order], place[order], impact[order]
         n = len(term)
         block = self.place // BLOCK
@@ -207,11 +208,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     Postings of query words are dealt into shards by doc_id; a shard gets the
     queries that have a word in it, builds its index and returns its ``k`` best
     for each, so the merge of all shards is exact.  A filter of fixed size drops
-    the postings of other words before the exact join.
+    the postings of words that no query has.
 
     Null and blank texts, and rows without doc_id, are no results and ask
-    nothing.  Of rows that share a doc_id, one is counted for each distinct text.
-    Other columns are ignored.
+    nothing.  Rows that share a doc_id are one result; a word counts as in the
+    row where its impact is greatest.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -233,7 +234,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     shared = spark.sparkContext.broadcast(_filter_words(wanted))
     thin = usable.mapInArrow(lambda batches: _postings(batches, shared.value), "id long, term long, tf int, length int")
     impact = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean)))
-    postings = cut(thin.withColumn("impact", impact).join(wanted, "term", "left_semi").select("term", "id", "impact").dropDuplicates(["term", "id"]), "postings")
+    postings = cut(thin.select("term", "id", impact.alias("impact")), "postings")  # a few of other terms too: nobody asks for them
     shards = max(spark.sparkContext.defaultParallelism, math.ceil(postings.count() / SHARD_POSTINGS))
     blocks = max(1, math.ceil(picked.select("query_id").distinct().count() / QUERY_BLOCK))
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
