@@ -20,6 +20,8 @@ QUERY_TERMS = 25
 #: Postings of a shard, about, and queries that a task runs on it.
 SHARD_POSTINGS = 1_000_000
 QUERY_BLOCK = 20_000
+#: Queries that travel as one row.
+PACK = 1000
 #: Documents of a block, whose greatest impacts are kept; blocks of the first wave.
 BLOCK, WAVE = 64, 16
 #: Bits of the filter of query terms that thins postings (16 MB).
@@ -181,7 +183,8 @@ def wand(index: ShardIndex, terms: np.ndarray, weights: np.ndarray, k: int) -> l
 
 def _search_shard(postings: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     index = ShardIndex(*(postings.column(c).to_numpy() for c in ("term", "id", "impact")))
-    ids, terms, weights = (queries.column(c).to_numpy() for c in ("query_id", "term", "weight"))
+    each = pa.concat_arrays([c.flatten() for c in queries.column("queries").chunks]) if len(queries) else pa.array([], queries.schema.field("queries").type.value_type)
+    ids, terms, weights = (each.field(c).to_numpy() for c in ("query_id", "term", "weight"))
     order = np.lexsort((terms, ids))
     ids, terms, weights = ids[order], terms[order], weights[order]
     edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
@@ -205,9 +208,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     those of all rows that have a word.  A score adds weights in the order of
     the words' hashes.  Ties go to the smaller doc_id.
 
-    Postings of query words are dealt into shards by doc_id; a shard gets the
-    queries that have a word in it, builds its index and returns its ``k`` best
-    for each, so the merge of all shards is exact.  A filter of fixed size drops
+    Postings of query words are dealt into shards by doc_id; a shard builds its
+    index and returns its ``k`` best for each query, so the merge of all shards
+    is exact.  A filter of fixed size drops
     the postings of words that no query has.
 
     Null and blank texts, and rows without doc_id, are no results and ask
@@ -236,10 +239,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     impact = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean)))
     postings = cut(thin.select("term", "id", impact.alias("impact")), "postings")  # a few of other terms too: nobody asks for them
     shards = max(spark.sparkContext.defaultParallelism, math.ceil(postings.count() / SHARD_POSTINGS))
-    blocks = max(1, math.ceil(picked.select("query_id").distinct().count() / QUERY_BLOCK))
+    asking = picked.select("query_id").distinct().count()
+    blocks = max(1, math.ceil(asking / QUERY_BLOCK))
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    places = dealt.select("term", F.col("shard").alias("place")).distinct()
-    routed = picked.join(places, "term").select("place", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("part"), "query_id", "term", "weight")
+    # every shard gets every query; packs keep the rows that are copied few
+    packs = max(1, math.ceil(asking / PACK))
+    packed = picked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct("query_id", "term", "weight")).alias("queries"))
+    routed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("place"), F.pmod("pack", F.lit(blocks)).alias("part"), "queries")
     # postings once for each block of queries: a task holds one shard and one block
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
