@@ -82,7 +82,7 @@ class Store:
         """kind, files, size_mb, rows of each table that is there."""
         out = None
         for kind in ("papers", "chunks", "dataset_papers", "dataset_chunks", "embeddings"):
-            if self._has(kind):
+            if self._has(kind) and not self.files(kind).isEmpty():
                 rows = self.spark.read.parquet(self._at(kind)).agg(F.count("*").alias("rows"))
                 part = self.files(kind).agg(F.count("*").alias("files"), F.round(F.sum("length") / (1 << 20), 2).alias("size_mb")).join(rows).select(F.lit(kind).alias("kind"), "files", "size_mb", "rows")
                 out = part if out is None else out.unionByName(part)

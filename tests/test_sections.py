@@ -92,9 +92,11 @@ def test_citations(spark):
 
 
 def test_reference_fallback(spark):
-    lines = "Body text\n[1] one (2001)\n[2] two (2002)\n[3] three (2003)"
+    three = "[1] one (2001)\n[2] two (2002)\n[3] three (2003)"
+    lines = f"Body text\n{three}\n[4] four"
     get = lambda t: spark.createDataFrame([(t,)], "t string").select(K.reference_section(F.col("t")).alias("r")).first()["r"]
     assert get(lines).split("\n")[0] == "[1] one (2001)" and get("Body\n[1] one\n[2] two") is None
+    assert get(three) == three and get(f"Body\n{three}") is None  # three entries end the list only at its start
     assert get(None) is None
     assert get("x\nReferences\nlist here\nAppendix\nmore") == "list here"
 

@@ -56,7 +56,7 @@ def test_clean_text(spark):
 def test_assess(spark):
     judge = lambda t: one(spark, lambda c: T.assess(F.coalesce(c, F.lit("")), c), t)
     assert judge(None)["issues"] == ["no_text"] and judge("  ")["issues"] == ["empty_text"]
-    short = judge("A clean little text of words.")
+    short = judge("Some clean little text of words.")
     assert short["issues"] == ["too_short"] and abs(short["score"] - 0.3) < 1e-9
     rep = judge("word " * 200)
     assert "excessive_repetition" in rep["issues"] and abs(rep["score"] - 0.6) < 1e-9
