@@ -15,15 +15,15 @@ from paperloom.llm.common import cut, small_batches
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Terms of a query: those of the query row's whole text that weigh most.
-QUERY_TERMS = 25
 #: Postings of a shard, about, and queries that a task runs on it.
 SHARD_POSTINGS = 1_000_000
 QUERY_BLOCK = 20_000
-#: Queries that travel as one row.
+#: Queries that travel as one row, in which their numbers are 16-bit words.
 PACK = 1000
 #: Documents of a block, whose greatest impacts are kept; blocks of the first wave.
 BLOCK, WAVE = 64, 16
+#: Postings of an entry, on average, from which bounds pay.
+DENSE = 8
 #: Bits of the filter of query terms that thins postings (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -152,10 +152,21 @@ def wand(index: ShardIndex, terms: np.ndarray, weights: np.ndarray, k: int) -> l
     A block's bound is the sum of its entries' greatest weighted impacts.
     Blocks are scored in waves, greatest bound first; once k documents are
     known, a block whose bound lies below the k-th score is never opened.
+    Where entries hold hardly more than a posting each, as those of a long
+    query do, bounds cost as much as scores: all documents are scored at once.
     """
     entries, w = index.entries(terms, weights)
     if not len(entries):
         return []
+    counts = index.entry[entries + 1] - index.entry[entries]
+    if counts.sum() < DENSE * len(entries):
+        postings = _ranges(index.entry[entries], counts)
+        scores = np.bincount(index.place[postings], weights=np.repeat(w, counts) * index.impact[postings], minlength=len(index.ids))
+        places = np.flatnonzero(scores > 0)
+        if len(places) > k:
+            places = places[scores[places] >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+        places = places[np.lexsort((places, -scores[places]))[:k]]
+        return list(zip(scores[places].tolist(), index.ids[places].tolist()))
     blocks = index.block[entries]
     bounds = np.bincount(blocks, weights=w * index.greatest[entries], minlength=index.blocks)
     order = np.argsort(-bounds, kind="stable")[: int((bounds > 0).sum())]
@@ -181,29 +192,53 @@ def wand(index: ShardIndex, terms: np.ndarray, weights: np.ndarray, k: int) -> l
     return list(zip(scores[best].tolist(), index.ids[places[best]].tolist()))
 
 
+_PACK = pa.schema([("pack", pa.int32()), ("ids", pa.binary()), ("terms", pa.binary()), ("weights", pa.binary()), ("asked", pa.binary()), ("members", pa.binary())])
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """The queries of one pack as one row: each term once, with the queries that ask for it."""
+    ids, terms, weights = (table.column(c).to_numpy() for c in ("query_id", "term", "weight"))
+    known, member = np.unique(ids, return_inverse=True)
+    if len(known) > 1 << 16:
+        raise ValueError("a pack holds more than 65,536 queries")
+    order = np.lexsort((member, terms))
+    terms, weights, member = terms[order], weights[order], member[order]
+    heads = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
+    asked = np.diff(np.concatenate((heads, [len(terms)]))).astype(np.uint32)
+    row = [known.astype(np.int64), terms[heads], weights[heads], asked, member.astype(np.uint16)]
+    return pa.Table.from_arrays([pa.array([table.column("pack")[0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], schema=_PACK)
+
+
+def _unpacked(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, its terms in order, their weights) of each query of a pack."""
+    ids, terms, weights, asked, member = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("terms", np.int64), ("weights", np.float64), ("asked", np.uint32), ("members", np.uint16)))
+    order = np.argsort(member, kind="stable")  # terms stay in order
+    at = np.repeat(np.arange(len(terms)), asked)[order]
+    edges = np.concatenate(([0], np.cumsum(np.bincount(member, minlength=len(ids))))).tolist()
+    for i, query in enumerate(ids.tolist()):
+        mine = at[edges[i] : edges[i + 1]]
+        yield query, terms[mine], weights[mine]
+
+
 def _search_shard(postings: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     index = ShardIndex(*(postings.column(c).to_numpy() for c in ("term", "id", "impact")))
-    each = pa.concat_arrays([c.flatten() for c in queries.column("queries").chunks]) if len(queries) else pa.array([], queries.schema.field("queries").type.value_type)
-    ids, terms, weights = (each.field(c).to_numpy() for c in ("query_id", "term", "weight"))
-    order = np.lexsort((terms, ids))
-    ids, terms, weights = ids[order], terms[order], weights[order]
-    edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
     out_q, out_d, out_s = [], [], []
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)]):
-        found = wand(index, terms[a:b], weights[a:b], k)
-        out_q += [int(ids[a])] * len(found)
-        out_d += [d for _, d in found]
-        out_s += [x for x, _ in found]
+    for n in range(len(queries)):
+        for query, terms, weights in _unpacked({c: queries.column(c)[n].as_py() for c in _PACK.names}):
+            found = wand(index, terms, weights, k)
+            out_q += [query] * len(found)
+            out_d += [d for _, d in found]
+            out_s += [x for x, _ in found]
     return pa.table([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "doc_id", "score"])
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int = QUERY_TERMS) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: the ``k`` best rows of ``docs`` for each row of ``queries``.
 
     Both are (doc_id, text).  Words split at white space, A-Z lower-cased.  A
-    query is made of its whole text: its ``query_terms`` distinct words of the
-    greatest tf * idf (ties: the word's hash), as a search by example does; all
-    their postings count.  BM25 with k1 = 1.2, b = 0.75 and
+    query is made of its whole text: all its distinct words, or, if the caller
+    sets ``query_terms``, as many of the greatest tf * idf (ties: the word's
+    hash); all their postings count.  BM25 with k1 = 1.2, b = 0.75 and
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are
     those of all rows that have a word.  A score adds weights in the order of
     the words' hashes.  Ties go to the smaller doc_id.
@@ -229,9 +264,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     terms = asked.mapInArrow(lambda batches: _postings(batches, None), "id long, term long, tf int, length int")
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weighed = terms.join(counted.select("term", "df"), "term").withColumn("weight", idf)
-    best = Window.partitionBy("id").orderBy(F.desc(F.col("tf") * F.col("weight")), "term")
-    picked = weighed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms)
-    picked = cut(picked.select(F.col("id").alias("query_id"), "term", "weight"), "queries")
+    if query_terms is not None:
+        best = Window.partitionBy("id").orderBy(F.desc(F.col("tf") * F.col("weight")), "term")
+        weighed = weighed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms)
+    picked = cut(weighed.select(F.col("id").alias("query_id"), "term", "weight"), "queries")
 
     wanted = picked.select("term").distinct()
     shared = spark.sparkContext.broadcast(_filter_words(wanted))
@@ -244,8 +280,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int =
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     # every shard gets every query; packs keep the rows that are copied few
     packs = max(1, math.ceil(asking / PACK))
-    packed = picked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int").alias("pack")).agg(F.collect_list(F.struct("query_id", "term", "weight")).alias("queries"))
-    routed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("place"), F.pmod("pack", F.lit(blocks)).alias("part"), "queries")
+    numbered = picked.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int"))
+    packed = cut(numbered.groupBy("pack").applyInArrow(_packed, "pack int, ids binary, terms binary, weights binary, asked binary, members binary"), "packs")
+    routed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("place"), F.pmod("pack", F.lit(blocks)).alias("part"), *_PACK.names)
     # postings once for each block of queries: a task holds one shard and one block
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

@@ -333,6 +333,18 @@ def test_search(spark):
     assert search.search(df.limit(0), df).count() == 0 and search.search(df, df.limit(0)).count() == 0
 
 
+def test_search_asks_with_the_whole_text(spark):
+    """The registered query's own parameters against brute force over all words."""
+    rows = near_copies(40, 6, seed=12)
+    df = table(spark, rows)
+    asked = [i for i, t in rows if i % 20 == 0]
+    assert max(len(set(words(t))) for i, t in rows if i in asked) > 60
+    got = defaultdict(list)
+    for r in search.search(df, df.where("doc_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
+    assert got == {q: [(d, round(s, 6)) for d, s in x] for q, x in naive_search(rows, asked, 10, None).items()}
+
+
 def test_block_max_wand():
     rng = random.Random(10)
     for _ in range(30):
