@@ -63,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.spans import repeated_spans
 
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,30 @@ def test_spans(spark):
     assert spans.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_spans_hold_every_repeated_passage(spark):
+    """All words of 51-word passages that an earlier document has, whatever their sentences."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(4, 8)))
+    some = lambda a, b: [word() + rng.choice(["", "", "", "", "", ","]) for _ in range(rng.randint(a, b))]
+    passages = [some(51, 90) for _ in range(6)] + [some(40, 50) for _ in range(3)]
+    passages[0][30] += "."  # one sentence ends inside; the others hold none
+    rows = [(i, " ".join([*some(0, 40), *passages[i % 9], *some(0, 40)])) for i in range(36)]
+    got = defaultdict(set)
+    for r in spans.repeated_spans(table(spark, rows), passages=True).collect():
+        covered = set(range(r["span_start"], r["span_end"]))
+        assert not covered & got[r["doc_id"]] and r["source_doc_id"] < r["doc_id"] and r["n_sentences"] > 0
+        got[r["doc_id"]] |= covered
+    seen, want = set(), defaultdict(set)
+    for i, t in rows:
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        windows = {k: tuple(t[a:b] for a, b in at[k : k + 51]) for k in range(len(at) - 50)}
+        for k, w in windows.items():
+            if w in seen:
+                want[i].update(range(at[k][0], at[k + 50][1]))
+        seen |= set(windows.values())
+    assert len(want) == 18 and dict(got) == dict(want)
+
+
 def naive_search(rows, asked, k, terms):
     docs = {i: Counter(words(t)) for i, t in rows if i is not None and words(t)}
     n, mean = len(docs), sum(sum(c.values()) for c in docs.values()) / max(1, len(docs))
