@@ -84,7 +84,6 @@ def band_hashes(coordinates: np.ndarray) -> np.ndarray:
     return V.mix64(total + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-assert ROWS == 4, "a band's coordinates, one byte each, are compared as one 32-bit word"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
@@ -194,13 +193,13 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _tile_pairs(table: pa.Table) -> pa.Table:
     """Pairs of one tile that lie in different components and whose wide sketches agree.
 
-    A pair that also agrees in an earlier band was met there (or settled with a
-    hub), so every pair is named once.
+    A pair that also shares the bucket of an earlier band (the whole hash, as
+    the bucket's) was met there or settled with a hub, so it is named once.
     """
     ids, comps = table.column("id").to_numpy(), table.column("component").to_numpy()
     side = table.column("side").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("value").to_pylist()), np.uint8).reshape(len(ids), WIDE)
-    bands = np.ascontiguousarray(sketch[:, :COORDINATES]).view(np.uint32)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
     earlier = bands[:, : table.column("band")[0].as_py()] if len(ids) else bands
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
@@ -218,18 +217,19 @@ def _tile_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _bucket_pairs(docs: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def _bucket_pairs(docs: DataFrame, members: DataFrame, labels: DataFrame, bands: DataFrame) -> DataFrame:
     """Candidates inside buckets that still hold more than one component.
 
     Pairs with the bucket's hub are settled already and left out.  A bucket of
     more than TILE members is cut into slices and compared slice by slice, so
-    no task holds more than two slices.
+    no task holds more than two slices.  ``bands``: (id, bands), the bucket
+    hashes of every document.
     """
     others = members.where("n > 2 and id <> hub").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
     rows = cut(others.join(mixed.select("bucket", slices.alias("g")), "bucket"), "mixed")
-    sketches = cut(_needed(docs, cut(rows.select("id").distinct(), "ids"), wide=True), "wide")
+    sketches = cut(_needed(docs, cut(rows.select("id").distinct(), "ids"), wide=True).join(bands, "id"), "wide")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     sided = rows.select("bucket", "band", "id", "component", F.col("s"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     tiles = sided.select("bucket", "band", "id", "component", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.when(F.col("s") == F.col("o"), 2).when(F.col("s") < F.col("o"), 0).otherwise(1).alias("side"))
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(_confirm(docs, cut(_likely(first, slim), "pairs")), "confirmed")
     labels = cut(connected_components(links, "a", "b"), "labels")
-    rest = cut(_bucket_pairs(docs, members, labels), "pairs")
+    rest = cut(_bucket_pairs(docs, members, labels, sketches.select("id", "bands")), "pairs")
     if not rest.isEmpty():
         links = links.union(_confirm(docs, rest))
         labels = cut(connected_components(links, "a", "b"), "labels")

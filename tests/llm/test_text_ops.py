@@ -106,6 +106,21 @@ def test_minhash_chains(spark):
     assert got == {i: c for i, (_, c) in groups(rows).items()}
 
 
+def test_minhash_tiles_skip_only_shared_buckets():
+    """A pair whose low bytes agree in an earlier band, by chance, has not met there."""
+    sketch = np.random.default_rng(3).integers(0, 256, minhash.WIDE).astype(np.uint8).tobytes()
+    bands = np.arange(2 * minhash.BANDS, dtype=np.int64).reshape(2, minhash.BANDS)
+    bands[1, 7] = bands[0, 7]
+
+    def pairs(bands):
+        columns = {"id": [5, 3], "component": [5, 3], "side": [2, 2], "band": [7, 7], "value": [sketch, sketch], "bands": bands.tolist()}
+        return minhash._tile_pairs(pa.table(columns)).to_pylist()
+
+    assert pairs(bands) == [{"a": 3, "b": 5}]
+    bands[1, 2] = bands[0, 2]
+    assert pairs(bands) == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
