@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.vectors import squared_distance
+from paperloom.operators.vectors import silhouette, squared_distance
 
 SEED = 42
 
@@ -148,30 +148,48 @@ def predictions(model, rows: DataFrame, labels: list[str], *keep: str) -> DataFr
     return model.transform(rows).select(*keep, F.get(names, F.col("prediction").cast("int")).alias("predicted_category"), F.array_max(p).alias("confidence"), F.map_from_arrays(names, p).alias("all_probabilities"))
 
 
-def dbscan(vectors: DataFrame, eps: float, min_samples: int = 3, key: str = "vec_id", vector: str = "embedding", most_rounds: int = 50) -> DataFrame:
+def dbscan(vectors: DataFrame, eps: float, min_samples: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, cluster: the least key of the cluster's core points, -1 for noise.
 
     Core points have ``min_samples`` neighbours within ``eps``, themselves
     included; they are joined over shared neighbourhoods by spreading the least
-    label until nothing changes.  A border point joins the least such cluster.
+    label until nothing changes; a label also takes over its own label, so rounds
+    grow as the logarithm of a chain.  A border point joins the least such cluster.
     Pairs are compared exactly, so this is for moderate tables.
     """
-    a = vectors.select(F.col(key).alias("a"), F.col(vector).alias("x"))
+    a = vectors.select(F.col(key).alias("a"), F.col(vector).alias("x")).repartition(vectors.sparkSession.sparkContext.defaultParallelism)  # a small file is one task's otherwise
     b = vectors.select(F.col(key).alias("b"), F.col(vector).alias("y"))
     near = a.join(b, F.sqrt(squared_distance(F.col("x"), F.col("y"))) <= eps).select("a", "b").persist()
     core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
     links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b").persist()
     labels = core.select("a", F.col("a").alias("c"))
-    changed, rounds = True, 0
-    while changed and rounds < most_rounds:
-        spread = links.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("c")).persist()
-        changed = spread.join(labels.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count() > 0
-        labels, rounds = spread, rounds + 1
+    changed = True
+    while changed:
+        spread = links.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("c"))
+        further = labels.select(F.col("a").alias("c"), F.col("c").alias("d"))
+        spread = spread.join(further, "c").select("a", F.least("c", "d").alias("c")).localCheckpoint()
+        changed = not spread.join(labels.withColumnRenamed("c", "old"), "a").where("c <> old").isEmpty()
+        labels = spread
     border = near.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("border"))
     out = vectors.select(F.col(key).alias("a")).join(labels, "a", "left").join(border, "a", "left")
     return out.select(F.col("a").alias(key), F.coalesce("c", "border", F.lit(-1)).alias("cluster"))
 
 
+def dbscan_sweep(vectors: DataFrame, radii: Iterable[float] = (0.1, 0.3, 0.5, 0.7, 1.0), min_samples: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """eps, clusters, noise, silhouette (without noise), best for each eps that gives two clusters or more;
+    of equal ones the first eps is best."""
+    found = []
+    for eps in radii:
+        labelled = vectors.select(key, vector).join(dbscan(vectors, eps, min_samples, key, vector), key).localCheckpoint()
+        real = labelled.where("cluster <> -1")
+        clusters = real.select("cluster").distinct().count()
+        if clusters >= 2:
+            found.append((float(eps), clusters, labelled.count() - real.count(), float(silhouette(real, "cluster", key, vector).first()[0])))
+    top = max((x[3] for x in found), default=None)
+    first = next((x[0] for x in found if x[3] == top), None)
+    return vectors.sparkSession.createDataFrame([(*x, x[0] == first) for x in found], "eps double, clusters long, noise long, silhouette double, best boolean")
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 

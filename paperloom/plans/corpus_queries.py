@@ -176,6 +176,11 @@ def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.dbscan(read_table(spark, sf_dir, "embeddings").where("vec_id < 300"), 0.9, 3)
 
 
+def dbscan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eps over all embeddings (dbscan_components keeps to the rows of its SQL twin)."""
+    return L.dbscan_sweep(read_table(spark, sf_dir, "embeddings"))
+
+
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.kmeans_sweep(L.with_vectors(read_table(spark, sf_dir, "embeddings"), "embedding"), range(3, 7))
 
@@ -219,7 +224,7 @@ _DATASET = f"{PAPERS_SQL}, {measures_sql('papers', 'cleaned_text', 'arxiv_id, ti
 _QUERIES = (
     usable_papers, top_categories, paper_stats, balanced_sample, balanced_events, feed_window, upsert_papers, latest_events, unprocessed_docs, papers_for_hits, knn_topk,
     cluster_analysis, cluster_composition, category_rollup, cluster_dispersion, silhouette_exact, class_distribution, stratified_split, class_metrics, overall_metrics,
-    vocabulary, tfidf_weights, u_mass_coherence, ml_dataset, ml_dataset_meta, dbscan_components, kmeans_sweep, pca_2d, lda_topics, lsa_topics, classifier_contest,
+    vocabulary, tfidf_weights, u_mass_coherence, ml_dataset, ml_dataset_meta, dbscan_components, dbscan_sweep, kmeans_sweep, pca_2d, lda_topics, lsa_topics, classifier_contest,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 ORACLES = {

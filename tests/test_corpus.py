@@ -56,6 +56,14 @@ def test_clusters(spark):
     assert [r["vec_id"] for r in V.nearest(vectors, vectors.where("vec_id = 1"), 3).orderBy("rank").collect()] == [1, 0, 2]
 
 
+def test_dbscan_chain_and_sweep(spark):
+    chain = spark.createDataFrame([(i, [i * 0.4, 0.0]) for i in range(120)] + [(500 + i, [0.0, 9.0 + i * 0.2]) for i in range(3)], "vec_id int, embedding array<float>")
+    assert {r["vec_id"]: r["cluster"] for r in L.dbscan(chain, 0.5, 3).collect()} == {i: 1 for i in range(120)} | {500: 500, 501: 500, 502: 500}
+    out = L.dbscan_sweep(chain).orderBy("eps").collect()
+    assert [(r["eps"], r["clusters"], r["noise"]) for r in out] == [(0.5, 2, 0), (0.7, 2, 0), (1.0, 2, 0)]
+    assert [r["best"] for r in out] == [True, False, False]
+
+
 def test_feed(spark, tmp_path):
     entry = "<entry><id>http://x.org/abs/2301.00001v1</id><title>A\nB </title><summary> s </summary><published>2023-01-02T03:04:05Z</published><updated>2023-01-02T03:04:05Z</updated><category term='cs.AI'/><category term='cs.LG'/><author><name>N M</name></author></entry>"
     (tmp_path / "f.xml").write_text(f"<feed>{entry}</feed>")
