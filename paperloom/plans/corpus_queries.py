@@ -76,6 +76,12 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.nearest(vectors, vectors.where("vec_id < 20"), 10).withColumn("distance", F.round("distance", 6))
 
 
+def knn_topk_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All due queries: every row whose id is divisible by 20 (knn_topk keeps to those of its SQL twin)."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return V.nearest(vectors, vectors.where("vec_id % 20 = 0"), 10).withColumn("distance", F.round("distance", 6))
+
+
 def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding labels as clusters (9 is noise) of the papers of the same number."""
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("arxiv_id"), F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("label"))
@@ -222,7 +228,7 @@ _TERMS = r"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(tex
 _DATASET = f"{PAPERS_SQL}, {measures_sql('papers', 'cleaned_text', 'arxiv_id, title, categories')}, {SCORED_SQL}, ds AS (SELECT arxiv_id, title, x, categories, overall_score FROM q WHERE overall_score >= 0.3)"
 
 _QUERIES = (
-    usable_papers, top_categories, paper_stats, balanced_sample, balanced_events, feed_window, upsert_papers, latest_events, unprocessed_docs, papers_for_hits, knn_topk,
+    usable_papers, top_categories, paper_stats, balanced_sample, balanced_events, feed_window, upsert_papers, latest_events, unprocessed_docs, papers_for_hits, knn_topk, knn_topk_due,
     cluster_analysis, cluster_composition, category_rollup, cluster_dispersion, silhouette_exact, class_distribution, stratified_split, class_metrics, overall_metrics,
     vocabulary, tfidf_weights, u_mass_coherence, ml_dataset, ml_dataset_meta, dbscan_components, dbscan_sweep, kmeans_sweep, pca_2d, lda_topics, lsa_topics, classifier_contest,
 )

@@ -64,6 +64,18 @@ def test_dbscan_chain_and_sweep(spark):
     assert [r["best"] for r in out] == [True, False, False]
 
 
+def test_knn_asks_all_due_queries(spark):
+    import __spark_entry__ as entry
+
+    where = "/root/testdata/sf0.001"
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{where}/embeddings.parquet").collect()}
+    got = {}
+    for r in entry.queries()["knn_topk_due"](spark, where).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    far = lambda x, y: sum((float(p) - float(q)) ** 2 for p, q in zip(x, y))
+    assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {q: sorted(rows, key=lambda i: (far(rows[i], rows[q]), i))[:10] for q in rows if q % 20 == 0}
+
+
 def test_feed(spark, tmp_path):
     entry = "<entry><id>http://x.org/abs/2301.00001v1</id><title>A\nB </title><summary> s </summary><published>2023-01-02T03:04:05Z</published><updated>2023-01-02T03:04:05Z</updated><category term='cs.AI'/><category term='cs.LG'/><author><name>N M</name></author></entry>"
     (tmp_path / "f.xml").write_text(f"<feed>{entry}</feed>")
