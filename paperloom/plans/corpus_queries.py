@@ -138,11 +138,27 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")], "classes", "rows", "verdict", "imbalanced")
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
+def _terms(spark: SparkSession, sf_dir: str, which: str = "lang = 'en'") -> tuple[DataFrame, int]:
+    docs = read_table(spark, sf_dir, "documents").where(which)
     return E.document_terms(docs, F.filter(T.tokens(F.col("text")), lambda w: F.length(w).between(3, 15))), docs.count()
 
 
+def vocabulary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and 10,000 terms (vocabulary keeps to those of its SQL twin; so do the next two)."""
+    terms, n = _terms(spark, sf_dir, "true")
+    return E.vocabulary(terms, n, 5, 0.8, 10000)
+
+
+def tfidf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, n = _terms(spark, sf_dir, "true")
+    return E.tfidf(terms, E.vocabulary(terms, n, 2, 0.95, 10000), n).withColumn("weight", F.round("weight", 6))
+
+
+def u_mass_coherence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, n = _terms(spark, sf_dir, "true")
+    return _coherence(terms, E.vocabulary(terms, n, 5, 0.8, 10000))
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, n = _terms(spark, sf_dir)
     return E.vocabulary(terms, n, 5, 0.8, 500)
@@ -156,9 +172,13 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u_mass_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics: the commonest terms by first letter, as a fixed grouping."""
     terms, n = _terms(spark, sf_dir)
+    return _coherence(terms, E.vocabulary(terms, n, 5, 0.8, 300))
+
+
+def _coherence(terms: DataFrame, listed: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    listed = E.vocabulary(terms, n, 5, 0.8, 300).withColumn("topic", F.substring("term", 1, 1))
+    listed = listed.withColumn("topic", F.substring("term", 1, 1))
     ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("total"), "term"))).where("rank <= 5")
     return E.u_mass(ranked, terms).withColumn("u_mass", F.round("u_mass", 6))
 
@@ -188,31 +208,30 @@ def dbscan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.kmeans_sweep(L.with_vectors(read_table(spark, sf_dir, "embeddings"), "embedding"), range(3, 7))
+    return L.kmeans_sweep(L.with_vectors(read_table(spark, sf_dir, "embeddings"), "embedding"), seeds=range(L.SEED, L.SEED + 10))
 
 
 def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.pca(L.with_vectors(read_table(spark, sf_dir, "embeddings"), "embedding"), "vec_id")
 
 
-def _tfidf_model(spark: SparkSession, sf_dir: str, features: int = 500):
-    docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
-    return L.tfidf_pipeline(features, min_df=5, bigrams=False).fit(docs), docs
+def _tfidf_model(spark: SparkSession, sf_dir: str, features: int = 5000):
+    docs = read_table(spark, sf_dir, "documents")
+    return L.tfidf_pipeline(features, bigrams=False).fit(docs), docs
 
 
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
-    return L.lda_topics(docs, topics=5, terms=10, features=500, iterations=5)
+    return L.lda_topics(read_table(spark, sf_dir, "documents"))
 
 
 def lsa_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, docs = _tfidf_model(spark, sf_dir, 200)
-    return L.lsa_topics(model.transform(docs), L.vocabulary_of(model), components=5, terms=10)
+    model, docs = _tfidf_model(spark, sf_dir)
+    return L.lsa_topics(model.transform(docs), L.vocabulary_of(model))
 
 
 def classifier_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("category"))
-    return L.contest(labelled, "category", "doc_id", features=300, folds=2)
+    return L.contest(labelled, "category", "doc_id")
 
 
 _KNN = "d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS distance FROM embeddings v, embeddings q WHERE {0}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d)"
@@ -230,7 +249,7 @@ _DATASET = f"{PAPERS_SQL}, {measures_sql('papers', 'cleaned_text', 'arxiv_id, ti
 _QUERIES = (
     usable_papers, top_categories, paper_stats, balanced_sample, balanced_events, feed_window, upsert_papers, latest_events, unprocessed_docs, papers_for_hits, knn_topk, knn_topk_due,
     cluster_analysis, cluster_composition, category_rollup, cluster_dispersion, silhouette_exact, class_distribution, stratified_split, class_metrics, overall_metrics,
-    vocabulary, tfidf_weights, u_mass_coherence, ml_dataset, ml_dataset_meta, dbscan_components, dbscan_sweep, kmeans_sweep, pca_2d, lda_topics, lsa_topics, classifier_contest,
+    vocabulary, tfidf_weights, u_mass_coherence, vocabulary_all, tfidf_weights_all, u_mass_coherence_all, ml_dataset, ml_dataset_meta, dbscan_components, dbscan_sweep, kmeans_sweep, pca_2d, lda_topics, lsa_topics, classifier_contest,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 ORACLES = {

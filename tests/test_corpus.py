@@ -76,6 +76,24 @@ def test_knn_asks_all_due_queries(spark):
     assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {q: sorted(rows, key=lambda i: (far(rows[i], rows[q]), i))[:10] for q in rows if q % 20 == 0}
 
 
+def test_learning_queries_take_the_whole_job(spark, monkeypatch):
+    from paperloom.plans import corpus_queries as Q
+
+    where = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    asked = {}
+    for name in ("lda_topics", "contest", "kmeans_sweep", "lsa_topics"):
+        monkeypatch.setattr(L, name, lambda rows, *a, name=name, **k: asked.setdefault(name, (rows.count(), a[: 2 if name == "contest" else 0], k)))
+    for query in (Q.lda_topics, Q.classifier_contest, Q.kmeans_sweep, Q.lsa_topics):
+        query(spark, where)
+    assert asked["lda_topics"] == (docs.count(), (), {}) and asked["lsa_topics"] == (docs.count(), (), {})
+    assert asked["contest"][1:] == (("category", "doc_id"), {})
+    assert asked["kmeans_sweep"][2] == {"seeds": range(42, 52)}
+    assert Q.tfidf_weights_all(spark, where).join(docs.where("lang <> 'en'"), "doc_id").count() > 0
+    assert Q.vocabulary_all(spark, where).count() > Q.vocabulary(spark, where).count()
+    assert Q.u_mass_coherence_all(spark, where).count() > 0
+
+
 def test_feed(spark, tmp_path):
     entry = "<entry><id>http://x.org/abs/2301.00001v1</id><title>A\nB </title><summary> s </summary><published>2023-01-02T03:04:05Z</published><updated>2023-01-02T03:04:05Z</updated><category term='cs.AI'/><category term='cs.LG'/><author><name>N M</name></author></entry>"
     (tmp_path / "f.xml").write_text(f"<feed>{entry}</feed>")
