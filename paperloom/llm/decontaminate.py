@@ -55,9 +55,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """doc_id, item_id, similarity, start: documents that hold a benchmark item.
 
     A window is as many shingles long as the item.  It is fingerprinted where it
-    can matter: it starts at a shingle of the item that none precedes (moving a
-    window left along a run of the item's shingles never loses one; a window
-    without any has similarity 0).  Window and item fingerprints of one size
+    can matter: it starts at a shingle of the item, and the one before it is not
+    of the item or is in the window already as often as in the item.  Else moving
+    the window left gains a shingle of the item and loses one at most; a window
+    that starts at another shingle is no better than the next one.  Window and item fingerprints of one size
     meet in one of ``radius`` + 1 Hamming blocks, which finds all pairs within
     the radius; the exact weighted similarity of the shingles decides.  The best
     window of a pair is returned (``start``: its first word, from 0).
@@ -78,7 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     def seeded(part: int) -> DataFrame:
         block = seeds if parts == 1 else seeds.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(parts)) == part)
         hit = placed.join(F.broadcast(block), "h")
-        first = (F.col("at") == 0) | ~F.array_contains("item", F.expr("hs[greatest(at - 1, 0)]"))
+        # no lambda here: a join condition without generated code would hold all places of a document at once
+        before = "(size({0}) - size(array_remove({0}, hs[greatest(at - 1, 0)])))"
+        first = (F.col("at") == 0) | F.expr(f"{before.format('slice(hs, at + 1, n)')} >= {before.format('item')}")
         return hit.where(first).select("doc_id", F.col("at").alias("start"), "n", F.expr("slice(hs, at + 1, n)").alias("win"))
 
     windows = reduce(DataFrame.union, [seeded(k) for k in range(parts)]).distinct()

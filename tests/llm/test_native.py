@@ -163,6 +163,16 @@ def leaks(rows, items):
     return out
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """Copies behind more of their own shingles: every start is tried in plain Python."""
+    items = [(1, "a a a a a a b c d e f g h"), (2, " ".join(f"w{k}" for k in range(20)))]
+    rows = [(10, "x y " + "a " * 30 + "b c d e f g h z"), (11, " ".join(f"w{k}" for k in [*range(9, 16), *range(20)])), (12, " ".join(f"w{k}" for k in [*range(20), *range(20)]))]
+    rows += [(13, items[0][1] + " " + items[0][1]), (14, "w1 w2 w3 w4 w5 " + items[1][1])]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks(rows, items)
+    assert want[10, 1] == 1 and got == pytest.approx(want, abs=1e-5)
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
