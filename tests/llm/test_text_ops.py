@@ -340,6 +340,37 @@ def test_spans_hold_every_repeated_passage(spark):
     assert len(want) == 18 and dict(got) == dict(want)
 
 
+def test_spans_across_documents(spark):
+    """The registered query's parameters: copies, edits, junk runs, ids out of order, repeated rows."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(3, 6))) + rng.choice(["", "", "", "."])
+    passages = [[word() for _ in range(rng.randint(51, 200))] for _ in range(4)] + [["the"] * 90, ["x", "y"] * 60]
+    rows = []
+    for i in range(80):
+        text = [*(word() for _ in range(rng.randint(0, 60))), *rng.choice(passages), *(word() for _ in range(rng.randint(0, 60)))]
+        if i % 4 == 0 and rows:
+            text = rng.choice(rows)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = word()
+        rows.append((1000 - i * 7, " ".join(text)))
+    rows += [rows[3], (2000, "own words. " * 30), *EDGES]
+    got = defaultdict(set)
+    for r in spans.repeated_spans(table(spark, rows), passages=True, within=False).collect():
+        assert r["source_doc_id"] < r["doc_id"]
+        got[r["doc_id"]].update(range(r["span_start"], r["span_end"]))
+    first, want = {}, defaultdict(set)
+    for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())]
+        low = words(t)
+        for k in range(len(at) - 50):
+            if first.setdefault(tuple(low[k : k + 51]), i) != i:
+                want[i].update(range(at[k][0], at[k + 50][1]))
+    assert want and all(got[i] >= x for i, x in want.items())
+    # what goes beyond the passages are sentence runs that another document has
+    runs = naive_spans([r for r in rows if r[0] != 2000])
+    assert all(got[i] - want[i] <= runs[i] for i in got) and 2000 not in got and got.keys() - {i for i, x in want.items() if x} <= runs.keys()
+
+
 def naive_search(rows, asked, k, terms):
     docs = {i: Counter(words(t)) for i, t in rows if i is not None and words(t)}
     n, mean = len(docs), sum(sum(c.values()) for c in docs.values()) / max(1, len(docs))
