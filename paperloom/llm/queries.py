@@ -139,8 +139,7 @@ ds AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws
 its AS (SELECT item_id, CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) ELSE [array_to_string(ws, ' ')] END AS item FROM iw WHERE len(ws) > 0),
 seeds AS (SELECT item_id, item, unnest(list_distinct(item)) AS h FROM its),
 d AS (SELECT doc_id, sh, unnest(sh) AS h, unnest(range(0, len(sh))) AS pos FROM ds),
-hits AS (SELECT DISTINCT doc_id, item_id, item, pos, sh[pos + 1 : pos + len(item)] AS win FROM d JOIN seeds USING (h)
-         WHERE pos = 0 OR NOT list_contains(item, sh[pos])),
+hits AS (SELECT DISTINCT doc_id, item_id, item, pos, sh[pos + 1 : pos + len(item)] AS win FROM d JOIN seeds USING (h)),
 units AS (SELECT doc_id, item_id, pos, item, win, unnest(list_distinct(list_concat(item, win))) AS x FROM hits),
 counted AS (SELECT doc_id, item_id, pos, len(list_filter(item, lambda y: y = x)) AS a, len(list_filter(win, lambda y: y = x)) AS b FROM units),
 scored AS (SELECT doc_id, item_id, pos, sum(least(a, b)) / sum(greatest(a, b)) AS similarity FROM counted GROUP BY ALL)

@@ -173,6 +173,20 @@ def test_decontamination_of_repeated_shingles(spark):
     assert want[10, 1] == 1 and got == pytest.approx(want, abs=1e-5)
 
 
+def test_decontamination_against_many_items(spark, monkeypatch):
+    """More item shingles than are broadcast: the same pairs, by a shuffled join."""
+    rng = random.Random(17)
+    items = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(5, 25)))) for k in range(12)] + [(50, "a " * 50 + "b c d e f g h i j")]
+    rows = [(i, " ".join(rng.choice("xyz") for _ in range(rng.randint(0, 9))) + " " + items[i % 13][1] + " " + items[(i * 5) % 13][1]) for i in range(26)]
+    rows += [(5, "another text of the same id"), (80, "a " * 70 + "b c d e f g h i j")]
+    table, bench = docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(rows, items)
+    few = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(table, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 10)
+    many = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(table, bench).collect()}
+    assert few == many == pytest.approx(want, abs=1e-5) and want[80, 50] == 1
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
