@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ def measures(text: Column) -> Column:
     """Every count that a score needs, as one narrow struct."""
     tail = F.when(F.length(text) > 200, F.regexp_replace(F.right(text, F.lit(200)), r"\s+$", "")).otherwise(text)
     low = F.lower(text)
+    # the long pattern runs only where one of its phrases stands somewhere
+    some_phrase = reduce(Column.__or__, [F.contains(low, F.lit(p.replace("\\", ""))) for p in S.ACADEMIC_PHRASES.split("|")])
 
     def of_tokens(t: Column) -> Column:
         return F.struct(
@@ -34,7 +38,7 @@ def measures(text: Column) -> Column:
         F.length(text).alias("chars"),
         word_count(text).alias("words"),
         F.transform(F.array(tokens(text)), of_tokens)[0].alias("t"),
-        text.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{S.ACADEMIC_PHRASES}){WORDCHAR}").cast("int").alias("phrases"),
+        F.when(some_phrase, text.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{S.ACADEMIC_PHRASES}){WORDCHAR}")).otherwise(F.lit(False)).cast("int").alias("phrases"),
         F.regexp_count(text, F.lit(SPECIAL)).alias("special"),
         F.regexp_count(text, F.lit(r"(.)\1{4,}")).alias("repeated"),
         F.regexp_count(text, F.lit(SHORT_RUN)).alias("short_runs"),

@@ -26,6 +26,13 @@ MATH = r"\$[^$]*\$\|\$\$[^$]*\$\$"
 STRICT_MATH = r"\$\$[^$]*\$\$|\$[^$]*\$"
 FIGURE = r"(?i)(?:Figure|Table|Fig\.|Tab\.)\s*\d+[:.]?\s*[^\n]*"
 HYPHEN = rf"(?<!{WORDCHAR})(\p{{L}}+)-\s*\n\s*(\p{{L}}+)(?!{WORDCHAR})"
+#: Whatever is no letter, digit, underscore, white space or ASCII punctuation.  Here and below
+#: a plain range finds the few characters that the look behind then tells apart.
+STRAY = r"[^\x20-\x7E\x09-\x0D](?<![\p{L}\p{N}])"
+#: A character that compatibility normalisation may change or combine: none of ASCII, of
+#: Latin-1 but for its few compatibility characters, and of two letters beyond it.
+UNSTABLE = r"[^\x00-\x7F](?<![\u00BF-\u00FF\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u0152\u0153])"
+WHITE = " \t\n\x0b\f\r"
 
 
 @F.pandas_udf(StringType())
@@ -35,7 +42,7 @@ def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def word_count(text: Column) -> Column:
@@ -50,17 +57,19 @@ def tokens(text: Column) -> Column:
 def normalize_unicode(text: Column, compatibility: bool = True) -> Column:
     """Compatibility normalisation, then the replacement lists.
 
-    Only texts with a character beyond Latin-1 or a compatibility one below it
-    reach Python; all others are their own normal form.
+    Python is handed only the texts with a character that the normal form may
+    change (null for all others).  The lists are gone through only for texts
+    with a character of theirs.
     """
     if compatibility:
-        text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+        text = F.coalesce(_nfkc(F.when(text.rlike(UNSTABLE), text)), text)
     one = "".join(k for k, v in S.SAME_LENGTH.items() if v)
     gone = "".join(k for k, v in S.SAME_LENGTH.items() if not v)
     out = F.translate(text, one + gone, "".join(v for v in S.SAME_LENGTH.values() if v))
     for old, new in S.LONGER.items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    listed = "".join(sorted({*S.SAME_LENGTH, *S.LONGER}))
+    return F.when(F.contains(text, F.lit("`")) | text.rlike(rf"[^\x00-\x7F](?<=[{listed}])"), out).otherwise(text)
 
 
 def remove_artifacts(text: Column, strict_math: bool = False, captions: bool = False) -> Column:
@@ -78,7 +87,7 @@ def remove_artifacts(text: Column, strict_math: bool = False, captions: bool = F
     out = F.regexp_replace(out, STRICT_MATH if strict_math else MATH, " [MATH] ")
     if captions:
         out = F.regexp_replace(out, FIGURE, "")
-    return F.regexp_replace(out, r"[^\p{L}\p{N}_\s\p{Punct}]", " ")
+    return F.regexp_replace(out, STRAY, " ")
 
 
 def fix_hyphenation(text: Column) -> Column:
@@ -110,7 +119,7 @@ def assess(text: Column, original: Column | None = None) -> Column:
     measured = F.struct(
         F.length(text).alias("length"),
         F.size(words).alias("word_count"),
-        F.regexp_count(text, F.lit(r"\p{L}")).alias("letters"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))).alias("letters"),
         F.size(F.filter(words, lambda w: F.length(w) == 1)).alias("single"),
         F.size(F.array_distinct(words)).alias("different"),
     )

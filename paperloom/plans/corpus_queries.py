@@ -15,7 +15,7 @@ from paperloom.operators import vectors as V
 from paperloom.plans.papers import PAPERS_SQL, papers
 from paperloom.plans.quality_queries import SCORED_SQL, measures_sql
 from paperloom.plans.structure_queries import CHUNKS_SQL
-from paperloom.session import read_table
+from paperloom.session import read_table, read_texts
 
 _DAY = "DATE '2020-01-01'"
 
@@ -139,7 +139,7 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str, which: str = "lang = 'en'") -> tuple[DataFrame, int]:
-    docs = read_table(spark, sf_dir, "documents").where(which)
+    docs = read_texts(spark, sf_dir).where(which)
     return E.document_terms(docs, F.filter(T.tokens(F.col("text")), lambda w: F.length(w).between(3, 15))), docs.count()
 
 
@@ -221,7 +221,7 @@ def _tfidf_model(spark: SparkSession, sf_dir: str, features: int = 5000):
 
 
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lda_topics(read_table(spark, sf_dir, "documents"))
+    return L.lda_topics(read_texts(spark, sf_dir))
 
 
 def lsa_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ def lsa_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classifier_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("category"))
+    labelled = read_texts(spark, sf_dir).join(read_table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("category"))
     return L.contest(labelled, "category", "doc_id")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import read_table
+from paperloom.session import read_texts
 
 NL = "chr(10)"
 _FRONT = f"concat('Preprint arXiv:2301.01234v2 [cs.AI] 5 Jan 2023', {NL}, 'Contact author.name@uni.example.org or https://example.org/paper?id=1', {NL}, 'Abstract', {NL}, 'We propose a method and show the results. The represen-', {NL}, 'tation uses ', chr(92), 'cite{{abc}} and train- ing data (Smith et al., 2020) [1, 2].', {NL}, substr(text, 1, 1800))"
@@ -24,7 +24,7 @@ PUBLISHED = "cast('2020-01-01' as timestamp) + interval '1' day * cast(doc_id %
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """arxiv_id, title, authors, categories, published, full_text, cleaned_text (the raw text), lang, source."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir)
     return docs.select(
         F.col("doc_id").alias("arxiv_id"),
         F.expr(TITLE).alias("title"),

@@ -13,7 +13,7 @@ from paperloom.functions import quality as Q
 from paperloom.functions import text as T
 from paperloom.operators import corpus as C
 from paperloom.plans.papers import FULL_TEXT, PAPERS_SQL, papers
-from paperloom.session import read_table
+from paperloom.session import read_table, read_texts
 
 
 def _listed(words) -> str:
@@ -100,7 +100,7 @@ _PAPER = measures_sql("papers", "full_text", "arxiv_id, categories, lang")
 
 def _one_score(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = read_table(spark, sf_dir, "documents").withColumn("m", F.explode(F.array(Q.measures(F.col("text")))))
+        docs = read_texts(spark, sf_dir).withColumn("m", F.explode(F.array(Q.measures(F.col("text")))))
         score, issues = getattr(Q, name)(F.col("m"))
         return docs.select("doc_id", F.round(score, 6).alias("score"), F.array_join(issues, "|").alias("issues"))
 
@@ -116,7 +116,7 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def acceptance_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: clean, score and decide on every document, by language."""
-    usable = C.usable_papers(read_table(spark, sf_dir, "documents"), "text")
+    usable = C.usable_papers(read_texts(spark, sf_dir), "text")
     judged = C.with_quality(usable.select("lang", "text"))
     return judged.groupBy("lang").agg(F.count("*").alias("total"), F.count_if("accepted").alias("accepted"), F.round(F.avg("quality_metrics.overall_score"), 6).alias("avg_score"))
 
@@ -180,7 +180,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_table(spark, sf_dir, "documents").withColumn("q", F.explode(F.array(T.assess(F.col("text"), F.col("text")))))
+    found = read_texts(spark, sf_dir).withColumn("q", F.explode(F.array(T.assess(F.col("text"), F.col("text")))))
     return found.select("doc_id", F.col("q.length").alias("length"), F.col("q.word_count").alias("word_count"), F.array_join("q.issues", "|").alias("issues"), F.round("q.score", 6).alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions at run time.
 SETTINGS = {
@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+#: Bytes of a table for each core, below which its rows are dealt anew.
+SPREAD_BYTES = 4 << 20
+
 
 def session(app: str = "paperloom", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -22,5 +25,21 @@ def session(app: str = "paperloom", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a small table to all cores.
+
+    A file of one row group is one task, however long its texts take; a table
+    with more than SPREAD_BYTES a core has tasks enough and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(2 * cores) if size < cores * SPREAD_BYTES else rows
+
+
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, for work that is heavy for its size."""
+    return spread(read_table(spark, sf_dir, "documents"))
