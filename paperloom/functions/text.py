@@ -54,6 +54,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDCHAR + "+"), F.lit(0))
 
 
+def deaccented(text: Column) -> Column:
+    """Letters of Latin scripts without their marks, and no combining marks."""
+    plain = {}
+    for code in range(0xC0, 0x250):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        if len(parts) > 1 and parts[0].isalpha() and all(unicodedata.combining(c) for c in parts[1:]):
+            plain[chr(code)] = parts[0]
+    marks = "".join(chr(code) for code in range(0x300, 0x370))
+    return F.translate(text, "".join(plain) + marks, "".join(plain.values()))
+
+
 def normalize_unicode(text: Column, compatibility: bool = True) -> Column:
     """Compatibility normalisation, then the replacement lists.
 

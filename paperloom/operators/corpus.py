@@ -97,8 +97,10 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str, present: str | None
 
     Columns that ``changes`` lacks keep their value; a column it has overwrites,
     even with null.  ``present`` names a column of ``changes`` with an array of
-    the fields that a row sets, where that differs by row.
+    the fields that a row sets, where that differs by row.  A change without key
+    names no row and is dropped; stored rows without key stay as they are.
     """
+    changes = changes.where(F.col(key).isNotNull())
     given = [c for c in changes.columns if c not in (key, present)]
     old, new = stored.alias("o"), changes.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom import settings as S
+
 
 def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.7) -> DataFrame:
     """Add split: of each class, the first ``train`` share in the order of md5(key) trains."""
@@ -46,6 +48,33 @@ def clustering_verdict(method: Column, silhouette: Column, clusters: Column) ->
     return F.when(method == "dbscan", dbscan).otherwise(kmeans)
 
 
+def evaluate_clusterings(results: DataFrame) -> DataFrame:
+    """(method, silhouette, clusters) with verdict and best: the method of the greatest silhouette,
+    of equal ones the first by name."""
+    judged = results.withColumn("verdict", clustering_verdict(F.col("method"), F.col("silhouette"), F.col("clusters")))
+    top = judged.agg(F.max(F.struct(F.col("silhouette"))).alias("t"))  # one row
+    first = judged.join(F.broadcast(top), F.col("silhouette") == F.col("t.silhouette"), "left_semi").agg(F.min("method").alias("_first"))
+    return judged.join(F.broadcast(first)).withColumn("best", F.col("method") == F.col("_first")).drop("_first")
+
+
+def recommendations(overall: DataFrame | None, clusterings: DataFrame | None) -> list[str]:
+    """What to do next, from one row of overall metrics and the judged clusterings."""
+    out = []
+    row = overall.first() if overall is not None else None
+    if row is not None:
+        out.append(S.CLASSIFIER_ADVICE["weak" if row["accuracy"] < S.LEAST_ACCURACY else "imbalanced" if row["imbalanced"] else "fine"])
+    best = clusterings.where("best").first() if clusterings is not None else None
+    if best is not None:
+        out.append(S.CLUSTER_ADVICE["weak" if best["silhouette"] < S.LEAST_SILHOUETTE else "fine"])
+    return out
+
+
+def run_rates(steps: DataFrame, needed: tuple[str, ...] = ()) -> DataFrame:
+    """One row of (step, completed): steps, completed, success_rate, overall (all of ``needed``, or all)."""
+    counted = F.col("step").isin(*needed) if needed else F.lit(True)
+    return steps.agg(F.count("*").alias("steps"), F.count_if("completed").alias("completed"), F.avg(F.col("completed").cast("double")).alias("success_rate"), F.coalesce(F.bool_and(F.when(counted, F.col("completed"))), F.lit(False)).alias("overall"))
+
+
 def first_best(grid: DataFrame, metric: str, order: str, *by: str) -> DataFrame:
     """The row of the greatest metric; of several the first in ``order``."""
     columns = [c for c in grid.columns if c not in (metric, order, *by)]

@@ -103,6 +103,15 @@ def section_summary(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def summaries(papers: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The section summary of every paper; a blank one has none of anything."""
+    found = section_summary(extract_sections(papers, key, text), key)
+    out = papers.select(key).distinct().join(found, key, "left")
+    empty = {"total_sections": F.lit(0), "total_words": F.lit(0), "sections_found": F.array().cast("array<string>"), "avg_confidence": F.lit(0.0)}
+    return out.select(key, *[F.coalesce(c, empty.get(c, F.lit(False))).alias(c) for c in found.columns if c != key])
+
+
+
 def pack_sentences(content: Column, limit: int = S.CHUNK_CHARS) -> Column:
     """Chunks of whole sentences, at most ``limit`` characters unless one sentence is longer."""
     pieces = F.split(content, r"(?<=[.!?])\s+")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 256
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 32 << 20
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -17,12 +17,13 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key, distance: the ``k`` nearest rows of each query (ties: least key).
 
-    Queries come in blocks of bounded size, so what is broadcast doesn't follow
-    the data.  Each task keeps its own best ``k`` before rows are exchanged.
+    Queries come in blocks of bounded bytes, so what is broadcast doesn't follow
+    the data, and the rows are read once for each block.  Each task keeps its
+    own best ``k`` before rows are exchanged.
     """
     wanted = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query"))
-    total = wanted.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    asked = wanted.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("query")), F.lit(1)).alias("dims")).first()
+    blocks = max(1, -(-asked["n"] * (8 * asked["dims"] + 32) // QUERY_BYTES))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     best = None
     for block in range(blocks):
@@ -58,13 +59,14 @@ def dispersion(vectors: DataFrame, label: str = "label", key: str = "vec_id", ve
     return total.withColumn("calinski_harabasz", ch)
 
 
-def silhouette(vectors: DataFrame, label: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """One row: the mean silhouette with Euclidean distances, exact.
+def silhouette(vectors: DataFrame, label: str = "label", key: str = "vec_id", vector: str = "embedding", noise: int | None = None) -> DataFrame:
+    """One row: the mean silhouette with Euclidean distances, exact; rows of the label ``noise`` are left out.
 
     Distances are summed by point and cluster as pairs are made, in blocks of
     points; the sums, not the pairs, are exchanged.  The cost is quadratic by
     definition: use :func:`dispersion` on large tables.
     """
+    vectors = vectors if noise is None else vectors.where(F.col(label) != noise)
     rows = vectors.select(F.col(key).alias("a"), F.col(label).alias("la"), F.col(vector).alias("va"))
     others = vectors.select(F.col(key).alias("b"), F.col(label).alias("lb"), F.col(vector).alias("vb"))
     pairs = rows.join(others, F.col("a") != F.col("b")).select("a", "la", "lb", F.sqrt(squared_distance(F.col("va"), F.col("vb"))).alias("d"))

@@ -1,4 +1,4 @@
-"""The cleaning pipeline as one lazy plan: clean, sections, citations, quality, chunks, dataset."""
+"""The cleaning pipeline: clean, sections, citations, quality, chunks, dataset."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from paperloom.functions import citations as K
 from paperloom.functions import text as T
 from paperloom.operators import corpus as C
 from paperloom.operators import sections as X
+from paperloom.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class Result:
 def clean_papers(papers: DataFrame, key: str = "arxiv_id") -> DataFrame:
     """Add cleaned_text, text_quality, text_sections (map), citations, citation_stats."""
     cleaned = papers.withColumn("cleaned_text", F.explode(F.array(T.clean_text(F.col("full_text")))))
-    cleaned = cleaned.withColumn("text_quality", T.assess(F.col("cleaned_text"), F.col("full_text")))
+    cleaned = cut(cleaned.withColumn("text_quality", T.assess(F.col("cleaned_text"), F.col("full_text"))), "cleaned")
     found = X.extract_sections(cleaned.select(key, F.col("cleaned_text").alias("text")), key)
     entries = F.array_sort(F.collect_list(F.struct("start_pos", "name", "content")))
     maps = found.groupBy(key).agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["name"], e["content"]))).alias("text_sections"))
@@ -36,9 +37,13 @@ def clean_papers(papers: DataFrame, key: str = "arxiv_id") -> DataFrame:
 
 
 def run(papers: DataFrame, key: str = "arxiv_id", text: str = "full_text") -> Result:
-    """Everything derived from a table of papers (key, title, categories, and a text)."""
+    """Everything derived from a table of papers (key, title, categories, and a text).
+
+    Cleaned papers and judged ones are written once each; all tables of the
+    result read them.
+    """
     cleaned = clean_papers(C.usable_papers(papers.withColumnRenamed(text, "full_text") if text != "full_text" else papers), key)
-    judged = C.with_quality(cleaned.withColumn("_names", F.map_keys("text_sections")), "cleaned_text", "_names", "categories").drop("_names")
+    judged = cut(C.with_quality(cleaned.withColumn("_names", F.map_keys("text_sections")), "cleaned_text", "_names", "categories").drop("_names"), "judged")
     accepted = judged.where("accepted")
     sections = accepted.select(key, F.col("title").alias("paper_title"), "categories", F.col("quality_metrics.overall_score").alias("quality_score"), F.explode("text_sections").alias("name", "content")).withColumn("confidence", F.lit(S.CHUNK_CONFIDENCE))
     chunks = X.chunk_sections(sections, key)

@@ -72,12 +72,7 @@ def papers_for_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings")
-    return V.nearest(vectors, vectors.where("vec_id < 20"), 10).withColumn("distance", F.round("distance", 6))
-
-
-def knn_topk_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All due queries: every row whose id is divisible by 20 (knn_topk keeps to those of its SQL twin)."""
+    """Every row whose id is divisible by 20 asks."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return V.nearest(vectors, vectors.where("vec_id % 20 = 0"), 10).withColumn("distance", F.round("distance", 6))
 
@@ -138,24 +133,24 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")], "classes", "rows", "verdict", "imbalanced")
 
 
-def _terms(spark: SparkSession, sf_dir: str, which: str = "lang = 'en'") -> tuple[DataFrame, int]:
-    docs = read_texts(spark, sf_dir).where(which)
+def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    docs = read_texts(spark, sf_dir)
     return E.document_terms(docs, F.filter(T.tokens(F.col("text")), lambda w: F.length(w).between(3, 15))), docs.count()
 
 
 def vocabulary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and 10,000 terms (vocabulary keeps to those of its SQL twin; so do the next two)."""
-    terms, n = _terms(spark, sf_dir, "true")
+    """10,000 terms at most, as the learning run takes them (vocabulary and the next two: short lists)."""
+    terms, n = _terms(spark, sf_dir)
     return E.vocabulary(terms, n, 5, 0.8, 10000)
 
 
 def tfidf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, n = _terms(spark, sf_dir, "true")
+    terms, n = _terms(spark, sf_dir)
     return E.tfidf(terms, E.vocabulary(terms, n, 2, 0.95, 10000), n).withColumn("weight", F.round("weight", 6))
 
 
 def u_mass_coherence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, n = _terms(spark, sf_dir, "true")
+    terms, n = _terms(spark, sf_dir)
     return _coherence(terms, E.vocabulary(terms, n, 5, 0.8, 10000))
 
 
@@ -199,11 +194,11 @@ def ml_dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.dbscan(read_table(spark, sf_dir, "embeddings").where("vec_id < 300"), 0.9, 3)
+    return L.dbscan(read_table(spark, sf_dir, "embeddings"), 0.9, 3)
 
 
 def dbscan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eps over all embeddings (dbscan_components keeps to the rows of its SQL twin)."""
+    """Every eps over all embeddings."""
     return L.dbscan_sweep(read_table(spark, sf_dir, "embeddings"))
 
 
@@ -216,7 +211,7 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tfidf_model(spark: SparkSession, sf_dir: str, features: int = 5000):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir)
     return L.tfidf_pipeline(features, bigrams=False).fit(docs), docs
 
 
@@ -243,15 +238,15 @@ cats AS (SELECT cluster, category, count(*) AS n, row_number() OVER (PARTITION B
 tops AS (SELECT cluster, string_agg(category || '=' || n, '|' ORDER BY r) AS top_categories FROM cats WHERE r <= 5 GROUP BY cluster)"""
 _CELLS = "x AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY 1, 2), g AS (SELECT dim, sum(q - s * s / n) AS w, sum(s * s / n) AS b, sum(s) AS s, sum(n) AS n, count(*) AS k FROM c GROUP BY dim), a AS (SELECT max(n)::BIGINT AS rows, max(k)::BIGINT AS clusters, sum(w) AS inertia, sum(b - s * s / n) AS between FROM g)"
 _PRED = "p AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS label, CASE WHEN n_chars > 9000 THEN 'odd' WHEN n_chars > 700 THEN 'good' ELSE 'poor' END AS prediction FROM labels JOIN documents USING (doc_id)), cls AS (SELECT label FROM p UNION SELECT prediction FROM p), cm AS (SELECT c.label, (SELECT count(*) FROM p WHERE p.label = c.label) AS support, (SELECT count(*) FROM p WHERE p.prediction = c.label) AS predicted, (SELECT count(*) FROM p WHERE p.prediction = c.label AND p.label = c.label) AS hit FROM cls c), pr AS (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0.0 END::DOUBLE AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0.0 END::DOUBLE AS recall FROM cm), fm AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END::DOUBLE AS f1 FROM pr)"
-_TERMS = r"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) BETWEEN 3 AND 15)) AS term FROM documents WHERE lang = 'en'), dt AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY 1, 2), nd AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), va AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM dt GROUP BY term), vb AS (SELECT va.* FROM va, nd WHERE df >= 5 AND df <= 0.8 * n)"
+_TERMS = r"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) BETWEEN 3 AND 15)) AS term FROM documents), dt AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY 1, 2), nd AS (SELECT count(*) AS n FROM documents), va AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM dt GROUP BY term), vb AS (SELECT va.* FROM va, nd WHERE df >= 5 AND df <= 0.8 * n)"
 _DATASET = f"{PAPERS_SQL}, {measures_sql('papers', 'cleaned_text', 'arxiv_id, title, categories')}, {SCORED_SQL}, ds AS (SELECT arxiv_id, title, x, categories, overall_score FROM q WHERE overall_score >= 0.3)"
 
 _QUERIES = (
-    usable_papers, top_categories, paper_stats, balanced_sample, balanced_events, feed_window, upsert_papers, latest_events, unprocessed_docs, papers_for_hits, knn_topk, knn_topk_due,
+    usable_papers, top_categories, paper_stats, balanced_sample, balanced_events, feed_window, upsert_papers, latest_events, unprocessed_docs, papers_for_hits, knn_topk,
     cluster_analysis, cluster_composition, category_rollup, cluster_dispersion, silhouette_exact, class_distribution, stratified_split, class_metrics, overall_metrics,
     vocabulary, tfidf_weights, u_mass_coherence, vocabulary_all, tfidf_weights_all, u_mass_coherence_all, ml_dataset, ml_dataset_meta, dbscan_components, dbscan_sweep, kmeans_sweep, pca_2d, lda_topics, lsa_topics, classifier_contest,
 )
-QUERIES = {f.__name__: f for f in _QUERIES}
+QUERIES = {f.__name__: f for f in _QUERIES} | {"knn_topk_due": knn_topk}
 ORACLES = {
     "usable_papers": "SELECT lang, count(*) AS papers FROM documents WHERE text <> '' AND length(text) >= 400 GROUP BY lang",
     "top_categories": f"WITH {PAPERS_SQL} SELECT category, count(*) AS papers FROM (SELECT unnest(categories) AS category FROM papers) GROUP BY category ORDER BY papers DESC, category LIMIT 10",
@@ -263,7 +258,7 @@ ORACLES = {
     "latest_events": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "unprocessed_docs": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "papers_for_hits": f"WITH {PAPERS_SQL}, {_KNN.format('q.vec_id = 7')} SELECT arxiv_id, title, lang, rank FROM papers JOIN k ON vec_id = arxiv_id WHERE rank <= 10",
-    "knn_topk": f"WITH {_KNN.format('q.vec_id < 20')} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM k WHERE rank <= 10",
+    "knn_topk": f"WITH {_KNN.format('q.vec_id % 20 = 0')} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM k WHERE rank <= 10",
     "cluster_analysis": f"WITH {_PROFILE} SELECT cluster, size, round(avg_quality_score, 6) AS avg_quality_score, sample_titles, paper_ids, top_categories FROM base JOIN heads USING (cluster) LEFT JOIN tops USING (cluster)",
     "cluster_composition": f"WITH {_PROFILE} SELECT count(*) AS clusters, " + ", ".join(f"round({f}({c})::DOUBLE, 6) AS {n}_{k}" for n, c in (("quality", "avg_quality_score"), ("size", "size")) for k, f in (("avg", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + ", round(CASE WHEN min(size) > 0 THEN max(size)::DOUBLE / min(size) ELSE 0.0 END, 6) AS imbalance FROM base WHERE cluster <> 'noise'",
     "category_rollup": f"WITH {_PROFILE} SELECT category, sum(n)::BIGINT AS papers FROM cats WHERE r <= 5 AND cluster <> 'noise' GROUP BY category ORDER BY papers DESC, category LIMIT 10",
@@ -278,5 +273,9 @@ ORACLES = {
     "u_mass_coherence": f"WITH {_TERMS}, v AS (SELECT * FROM vb ORDER BY total DESC, term LIMIT 300), r AS (SELECT *, substr(term, 1, 1) AS topic, row_number() OVER (PARTITION BY substr(term, 1, 1) ORDER BY total DESC, term) AS rank FROM v), k AS (SELECT * FROM r WHERE rank <= 5), pr AS (SELECT a.topic, a.term AS better, b.term AS worse, a.df FROM k a JOIN k b ON a.topic = b.topic AND a.rank < b.rank) SELECT topic, round(avg(ln((coalesce((SELECT count(*) FROM dt x JOIN dt y USING (doc_id) WHERE x.term = better AND y.term = worse), 0) + 1.0::DOUBLE) / df)), 6) AS u_mass FROM pr GROUP BY topic",
     "ml_dataset": f"WITH {_DATASET} SELECT arxiv_id, title, length(x)::INT AS chars, array_to_string(categories, ',') AS categories, round(overall_score, 6) AS quality_score FROM ds",
     "ml_dataset_meta": f"WITH RECURSIVE {CHUNKS_SQL}, {_DATASET.removeprefix(PAPERS_SQL + ', ')}, " + "z AS (SELECT count(*) AS total_papers, coalesce(avg(overall_score), 0.0) AS a FROM ds) SELECT total_papers, (SELECT count(*) FROM chunked) AS total_chunks, (SELECT string_agg(DISTINCT c, ',' ORDER BY c) FROM (SELECT unnest(categories) AS c FROM ds)) AS categories, round(a, 6) AS avg_quality_score FROM z",
-    "dbscan_components": "WITH RECURSIVE e AS (SELECT * FROM embeddings WHERE vec_id < 300), d AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) <= 0.9), core AS (SELECT a FROM d GROUP BY a HAVING count(*) >= 3), l AS (SELECT d.a, d.b FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b), reach AS (SELECT a, a AS r FROM core UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.a), comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a), lab AS (SELECT e.vec_id, coalesce((SELECT min(c) FROM comp WHERE comp.a = e.vec_id), (SELECT min(c) FROM d JOIN comp ON comp.a = d.b WHERE d.a = e.vec_id), -1) AS cluster FROM e) SELECT vec_id, cluster FROM lab",
+    "dbscan_components": "WITH RECURSIVE e AS (SELECT * FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) <= 0.9), core AS (SELECT a FROM d GROUP BY a HAVING count(*) >= 3), l AS (SELECT d.a, d.b FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b), reach AS (SELECT a, a AS r FROM core UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.a), comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a), lab AS (SELECT e.vec_id, coalesce((SELECT min(c) FROM comp WHERE comp.a = e.vec_id), (SELECT min(c) FROM d JOIN comp ON comp.a = d.b WHERE d.a = e.vec_id), -1) AS cluster FROM e) SELECT vec_id, cluster FROM lab",
 }
+ORACLES["knn_topk_due"] = ORACLES["knn_topk"]
+ORACLES["vocabulary_all"] = ORACLES["vocabulary"].replace("LIMIT 500", "LIMIT 10000")
+ORACLES["tfidf_weights_all"] = ORACLES["tfidf_weights"].replace("LIMIT 100", "LIMIT 10000").replace("df >= 5 AND df <= 0.8 * n", "df >= 2 AND df <= 0.95 * n")
+ORACLES["u_mass_coherence_all"] = ORACLES["u_mass_coherence"].replace("LIMIT 300", "LIMIT 10000")

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom import settings as S
 from paperloom.functions import text as T
 from paperloom.operators import corpus as C
 from paperloom.operators import evaluation as E
+from paperloom.operators import learning as L
+from paperloom.operators import sections as X
 from paperloom.plans import clean
 from paperloom.plans.learn import LEARNABLE
 from paperloom.plans.papers import PAPERS_SQL, papers
-from paperloom.plans.quality_queries import _issues
-from paperloom.session import read_table
+from paperloom.plans.quality_queries import _issues, _listed
+from paperloom.scratch import scratch_root
+from paperloom.session import read_table, read_texts
 from paperloom.sources import feeds
+from paperloom.sources.store import Store, load_results, save_results
 
 
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +90,90 @@ def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(F.lit("chunks").alias("kind"), F.col("section").alias("name"), "rows", "chars").union(reasons.select(F.lit("rejected"), "reason", "rows", F.lit(0).cast("long")))
 
 
-QUERIES = {f.__name__: f for f in (feed_entries, papers_from_files, prepared_texts, eligible_classes, best_by_method, per_entry_counts, hyphen_assessment, clean_pipeline)}
+def clean_pipeline_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cleaning run makes of each paper."""
+    result = clean.run(papers(spark, sf_dir).drop("cleaned_text"))
+    kept = ["arxiv_id", F.length("cleaned_text").alias("chars"), F.col("text_quality.word_count").alias("words"), F.size("citations").alias("citations"), "accepted"]
+    return result.papers.select(*kept).unionByName(result.rejected.select(*kept))
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{scratch_root(spark)}/store-{uuid.uuid4().hex[:12]}")
+
+
+def stored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers written to a store and read back, with what was noted about them."""
+    store = _store(spark)
+    rows = papers(spark, sf_dir).select("arxiv_id", "title", "categories", F.substring("full_text", 1, 500).alias("full_text"), "cleaned_text")
+    store.save_papers(rows)
+    note = F.col("processing_metadata")
+    return spark.read.parquet(f"{store.path}/papers").select("arxiv_id", "title", note["text_hash"].alias("text_hash"), note["original_length"].alias("original_length"), note["cleaned_length"].alias("cleaned_length"))
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of two runs in a store; the later run's, by batch."""
+    store = _store(spark)
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), (F.col("doc_id") % 7).cast("int").alias("batch"))
+    store.save_chunks(rows.where("doc_id % 2 = 0"), "first")
+    store.save_chunks(rows, "second")
+    return store.load_chunks("second").groupBy("batch").agg(F.count("*").alias("rows"), F.sum("chars").alias("chars"))
+
+
+def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset and vectors (given twice) in a store: rows of each table."""
+    store = _store(spark)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("arxiv_id"), "lang")
+    store.save_dataset(docs, docs.where("lang = 'en'"))
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    store.add_embeddings(vectors.where("key % 3 = 0"))
+    store.add_embeddings(vectors)
+    return store.stats().select("kind", "rows")
+
+
+def json_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as gzipped JSON lines and loaded again; a missing one is left out."""
+    path = f"{scratch_root(spark)}/results-{uuid.uuid4().hex[:12]}"
+    save_results(path, papers=papers(spark, sf_dir).select("arxiv_id", "title", "categories", "published"))
+    found = load_results(spark, path, "papers", "missing")
+    return found["papers"].select("arxiv_id", "title", F.array_join("categories", ",").alias("categories"), F.col("published").cast("date").alias("published"), F.lit(found["missing"] is None).alias("other_missing"))
+
+
+def budgeted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest events within a budget of 300, 100 of which exist already."""
+    return C.budgeted(read_table(spark, sf_dir, "events"), 300, [F.desc("ts"), F.col("event_id")], 100).select("event_id", "ts")
+
+
+def clustering_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean scores of event types, judged as clusterings."""
+    rows = read_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("method")).agg(F.round(F.avg("value") / 100, 4).alias("silhouette"), F.countDistinct("user_id").alias("clusters"))
+    return E.evaluate_clusterings(rows)
+
+
+def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sources as steps of a run, those with labelled documents count as completed."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("seen", F.lit(True))
+    docs = read_table(spark, sf_dir, "documents").where("source is not null").join(labels, "doc_id", "left")
+    steps = docs.groupBy(F.col("source").alias("step")).agg(F.coalesce(F.bool_or("seen"), F.lit(False)).alias("completed"))
+    return E.run_rates(steps).withColumn("success_rate", F.round("success_rate", 6))
+
+
+_STOPS = sorted({*S.DOMAIN_STOP_WORDS, *S.COMMON_WORDS})
+
+
+def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each text a topic model would read."""
+    return read_texts(spark, sf_dir).select("doc_id", F.size(L.topic_tokens(F.coalesce("text", F.lit("")), _STOPS)).alias("words"))
+
+
+def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section counts of every text, of blank ones too (every seventh is blanked)."""
+    text = F.when(F.col("arxiv_id") % 7 == 0, F.lit(" ")).otherwise(F.col("full_text"))
+    found = X.summaries(papers(spark, sf_dir).select(F.col("arxiv_id").alias("doc_id"), text.alias("text")))
+    return found.where("doc_id % 7 = 0").select("doc_id", "total_sections", "total_words", "avg_confidence", "has_abstract", F.size("sections_found").alias("names"))
+
+
+QUERIES = {f.__name__: f for f in (clean_pipeline_papers, stored_papers, stored_chunks, stored_dataset, json_dataset, budgeted_events, clustering_verdicts, run_rates, topic_words, section_summaries)}
+QUERIES |= {f.__name__: f for f in (feed_entries, papers_from_files, prepared_texts, eligible_classes, best_by_method, per_entry_counts, hyphen_assessment, clean_pipeline)}
 _LEARNABLE = "[" + ", ".join(f"'{c}'" for c in LEARNABLE) + "]"
 ORACLES = {
     "feed_entries": "SELECT '2301.' || doc_id || 'v1' AS arxiv_id, 'A title number ' || doc_id AS title, trim(replace(substr(text, 1, 80), chr(10), ' ')) AS summary, 'Author ' || source AS authors, lang || ',' || source AS categories, TIMESTAMP '2023-01-02 03:04:05' AS published, TIMESTAMP '2023-02-03 04:05:06' AS updated, 'http://feeds.example.org/pdf/2301.' || doc_id || 'v1.pdf' AS pdf_url, false AS pdf_downloaded, false AS pdf_processed FROM documents",
@@ -97,3 +187,14 @@ k AS (SELECT length(t) AS n, regexp_extract_all(t, '\S+') AS ws, length(t) - len
 c AS (SELECT len(ws) AS words, n < 500 AS a, letters::DOUBLE / n < 0.6 AS b, len(list_filter(ws, lambda w: length(w) = 1))::DOUBLE / len(ws) > 0.1 AS g, len(list_distinct(ws))::DOUBLE / len(ws) < 0.3 AS e FROM k)
 SELECT array_to_string({_issues("CASE WHEN a THEN 'too_short' END", "CASE WHEN b THEN 'low_alpha_ratio' END", "CASE WHEN g THEN 'potential_gibberish' END", "CASE WHEN e THEN 'excessive_repetition' END")}, '|') AS issues, count(*) AS papers, sum(words)::BIGINT AS words FROM c GROUP BY 1""",
 }
+ORACLES |= {
+    "stored_papers": f"WITH {PAPERS_SQL} SELECT arxiv_id, title, substr(md5(cleaned_text), 1, 12) AS text_hash, length(substr(full_text, 1, 500))::INT AS original_length, length(cleaned_text)::INT AS cleaned_length FROM papers",
+    "stored_chunks": "SELECT (doc_id % 7)::INT AS batch, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
+    "stored_dataset": "SELECT 'dataset_papers' AS kind, count(*) AS rows FROM documents UNION ALL SELECT 'dataset_chunks', count(*) FROM documents WHERE lang = 'en' UNION ALL SELECT 'embeddings', count(*) FROM embeddings",
+    "json_dataset": f"WITH {PAPERS_SQL} SELECT arxiv_id, title, array_to_string(categories, ',') AS categories, published, true AS other_missing FROM papers",
+    "budgeted_events": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 200",
+    "clustering_verdicts": "WITH g AS (SELECT event_type AS method, round(avg(value) / 100, 4) AS silhouette, count(DISTINCT user_id) AS clusters FROM events GROUP BY 1), b AS (SELECT min(method) AS m FROM g WHERE silhouette = (SELECT max(silhouette) FROM g)) SELECT method, silhouette, clusters, CASE WHEN silhouette >= 0.7 THEN 'Excellent' WHEN silhouette >= 0.5 THEN 'Good' WHEN silhouette >= 0.25 THEN 'Fair' ELSE 'Poor' END AS verdict, method = m AS best FROM g, b",
+    "run_rates": "WITH s AS (SELECT source, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS completed FROM documents WHERE source IS NOT NULL GROUP BY 1) SELECT count(*) AS steps, count(*) FILTER (completed) AS completed, round(avg(completed::INT), 6) AS success_rate, bool_and(completed) AS overall FROM s",
+    "topic_words": rf"SELECT doc_id, len(list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '\p{{L}}{{3,15}}') AND NOT list_contains({_listed(_STOPS)}, w)))::INT AS words FROM documents",
+    "section_summaries": "SELECT doc_id, 0::BIGINT AS total_sections, 0::BIGINT AS total_words, 0.0::DOUBLE AS avg_confidence, false AS has_abstract, 0 AS names FROM documents WHERE doc_id % 7 = 0",
+}

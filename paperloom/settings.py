@@ -100,3 +100,20 @@ JOURNAL_WORDS = "journal transactions proceedings review letters ieee acm nature
 CONFERENCE_WORDS = (
     "conference workshop symposium meeting icml neurips nips iclr aaai ijcai acl emnlp cvpr iccv eccv sigir www chi"
 ).split()
+
+# --- topics and reports ------------------------------------------------------
+
+#: Words that say nothing about a paper's topic.
+DOMAIN_STOP_WORDS = (
+    "paper study research method approach result conclusion introduction abstract figure table section chapter authors "
+    "references citation arxiv preprint published journal conference algorithm performance evaluation experiment dataset "
+    "data model models modeling framework"
+).split()
+#: The advice of a report.
+CLASSIFIER_ADVICE = {
+    "weak": "Classification: Consider data augmentation or feature engineering",
+    "imbalanced": "Classification: Address class imbalance with sampling techniques",
+    "fine": "Classification: Performance is satisfactory",
+}
+CLUSTER_ADVICE = {"weak": "Clustering: Consider different features or preprocessing", "fine": "Clustering: Good cluster separation achieved"}
+LEAST_ACCURACY, LEAST_SILHOUETTE = 0.8, 0.3

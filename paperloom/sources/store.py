@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import content_hash
+from paperloom.operators.evaluation import recommendations
 
 
 def logger(name: str, level: int = logging.INFO) -> logging.Logger:
@@ -119,6 +120,55 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a JSON file or folder (gzip by name); None where it is missing or holds no JSON object."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    found = spark.read.option("multiLine", True).json(path)
+    return None if not found.columns or found.columns == ["_corrupt_record"] else found
+
+
+def save_results(path: str, **tables: DataFrame) -> None:
+    """Each result table as JSON lines in a folder of its name."""
+    for name, df in tables.items():
+        write_json(df, f"{path.rstrip('/')}/{name}")
+
+
+def load_results(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame | None]:
+    """The result tables of these names, None for those that aren't there."""
+    root = path.rstrip("/")
+    out = {}
+    for name in names:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        out[name] = spark.read.json(f"{root}/{name}") if there else None
+    return out
+
+
+def evaluation_report(overall: DataFrame | None = None, clusterings: DataFrame | None = None, categories: DataFrame | None = None) -> str:
+    """The text report of a run: classifier, clusterings (best first), top categories, what to do next."""
+    lines = ["MODEL EVALUATION REPORT", "=" * 23, "", "Classification"]
+    row = overall.first() if overall is not None else None
+    if row is None:
+        lines.append("  No classification results available.")
+    else:
+        lines.append(f"  Overall Assessment: {row['verdict']}")
+        lines += [f"  {name}: {row[column]:.3f}" for name, column in (("Accuracy", "accuracy"), ("F1 Weighted", "f1_weighted"), ("F1 Macro", "f1_macro"))]
+        lines += [f"  Classes Handled: {row['classes']}", f"  Test Samples: {row['rows']}"]
+        if row["imbalanced"]:
+            lines.append(f"  Imbalance: weighted F1 lies {row['f1_weighted'] - row['f1_macro']:.3f} above macro F1")
+    lines += ["", "Clustering"]
+    methods = [] if clusterings is None else clusterings.orderBy(F.desc("best"), "method").limit(100).collect()
+    for m in methods:
+        lines.append(f"  {m['method'].upper()}: {m['verdict']}, clusters {m['clusters']}, silhouette {m['silhouette']:.3f}" + " (best)" * bool(m["best"]))
+    if not methods:
+        lines.append("  No clustering results available.")
+    if categories is not None:
+        lines += ["", "Top Categories", *[f"  {r['category']}: {r['papers']}" for r in categories.orderBy(F.desc("papers"), "category").limit(3).collect()]]
+    return "\n".join([*lines, "", "Recommendations", *[f"  {x}" for x in recommendations(overall, clusterings)]])
+
+
 def report(title: str, **tables: DataFrame) -> str:
     """A text report over small result tables (at most 100 rows of each are shown)."""
     parts = [title, "=" * len(title)]

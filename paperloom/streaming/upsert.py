@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -10,11 +11,22 @@ from paperloom.operators.corpus import latest_by_key, upsert
 
 
 def apply_changes(changes: DataFrame, table: str, key: str, seq: str) -> None:
-    """Merge one batch into ``table`` (a folder with numbered versions; readers take the last)."""
+    """Merge one batch into ``table`` (a folder with numbered versions; readers take the last).
+
+    The table keeps ``seq``: a change older than what a key has, from whichever
+    batch, is left out, and of equal ones the later batch wins.  Changes without
+    key are dropped.
+    """
     spark = changes.sparkSession
     now = current_version(spark, table)
-    latest = latest_by_key(changes, key, seq).drop(seq)
-    merged = latest if now is None else upsert(spark.read.parquet(f"{table}/v={now}"), latest, key)
+    latest = latest_by_key(changes.where(F.col(key).isNotNull()), key, seq)
+    if now is None:
+        merged = latest
+    else:
+        stored = spark.read.parquet(f"{table}/v={now}")
+        have = stored.select(key, F.col(seq).alias("_have"))
+        fresh = latest.join(have, key, "left").where(F.col("_have").isNull() | (F.col(seq) >= F.col("_have"))).drop("_have")
+        merged = upsert(stored, fresh, key)
     merged.write.mode("overwrite").parquet(f"{table}/v={0 if now is None else now + 1}")
 
 
