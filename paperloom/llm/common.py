@@ -1,22 +1,22 @@
-"""Shared pieces: tables, the scratch folder that cuts lineage, held-out folds."""
+"""Shared pieces: tables, held-out folds, settings."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.scratch import cut, drop_cut, scratch_root
+from paperloom.session import spread
+
+__all__ = ["cut", "drop_cut", "has_word", "held_out", "scratch_root", "small_batches", "table"]
+
 #: Rows of an Arrow batch handed to Python; bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
 
-_scratch: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; small ones are dealt to all cores, as one row group of long texts is one task."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,54 +24,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables, seen by the driver and all executors.
-
-    It is ``spark.checkpoint.dir`` where that is set.  Where it isn't, a single
-    local JVM gets a temporary folder, and a cluster uses its warehouse folder.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _scratch:
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        if not base:
-            single = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            base = f"file://{tempfile.mkdtemp(prefix='paperloom-')}" if single else spark.conf.get("spark.sql.warehouse.dir")
-        root = f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
-        _scratch[sc.applicationId] = root
-        atexit.register(_remove, sc, root)
-    return _scratch[sc.applicationId]
-
-
-def _remove(sc, path: str) -> None:
-    try:
-        jvm = sc._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: its scratch folder stays for the cluster's own clean-up
-        return
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the scratch folder and read it again.
-
-    The result depends on files only: an executor that is lost later takes no
-    earlier stage with it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    root = scratch_root(df.sparkSession)
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(root) or f"/{root.rsplit('/', 1)[-1]}/" in path:
-            _remove(sc, path)
-
-
 def held_out(doc_id: Column) -> Column:
     """The fold that no model sees: crc32 of the id as text, modulo 3, is 1."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
