@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.ranks import running_sum
+from paperloom.llm.ranks import running_sum, source_key
 
 #: Turns rendered into one row; longer dialogues give several parts.
 PART_TURNS = 64
@@ -33,7 +33,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     Conversations of system turns only have no participant and give no row.
     Other columns are ignored.
     """
-    rows = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("~")).alias("key"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
+    rows = turns.select("conv_id", source_key(F.col("conv_id").cast("string")).alias("key"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("turn") / TURN_BUCKET), F.lit((1 << 62))))
     order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     placed = running_sum(rows, ["key"], "bucket", order, F.lit(1), "place")

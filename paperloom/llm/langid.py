@@ -17,6 +17,9 @@ PROFILE = 300
 SAMPLE = 2000
 UNKNOWN = "und"
 _BITS = 21
+#: Characters of a text that are taken apart at once.
+SLICE = 1 << 20
+
 _letters: list[np.ndarray] = []
 
 
@@ -26,36 +29,66 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of at most SLICE characters, cut behind white space where there is any."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + SLICE)
+        if end < len(text):
+            space = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            end = space + 1 if space >= at else end
+        yield text[at:end]
+        at = end
+
+
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams that end in each piece of the text; two codes are carried over."""
+    held = np.ones(1, np.int64)  # a word's edge
+    left = len(text)
+    for piece in _pieces(text):
+        left -= len(piece)
+        points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(_is_letter()[points], points.astype(np.int64) + 2, 1)
+        if not left:
+            codes = np.append(codes, 1)
+        before = np.concatenate((held[-1:], codes[:-1]))
+        codes = codes[(codes != 1) | (before != 1)]  # one edge between words
+        if not len(codes):
+            continue
+        joined = np.concatenate((held, codes))
+        first = len(held)
+        two = joined[first - 1 : -1] | codes << _BITS
+        one = codes[codes != 1]
+        ends = codes if first > 1 else codes[1:]
+        three = joined[: len(ends)] | joined[1 : len(ends) + 1] << _BITS | ends << 2 * _BITS
+        yield np.concatenate((one, two, three[joined[1 : len(ends) + 1] != 1]))
+        held = joined[-2:]
+
+
 def ngrams(text: str | None) -> np.ndarray:
     """All letter n-grams of one to three characters, packed; 1 marks a word's edge."""
-    if not text:
-        return np.zeros(0, np.int64)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(_is_letter()[points], points.astype(np.int64) + 2, 1)
-    codes = np.concatenate(([1], codes, [1]))
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = (codes[1:] != 1) | (codes[:-1] != 1)
-    codes = codes[keep]
-    if len(codes) < 2:
-        return np.zeros(0, np.int64)
-    one = codes[codes != 1]
-    two = codes[:-1] | codes[1:] << _BITS
-    three = codes[:-2] | codes[1:-1] << _BITS | codes[2:] << 2 * _BITS
-    return np.concatenate((one, two, three[codes[1:-1] != 1]))
+    return np.concatenate([*_grams(text or ""), np.zeros(0, np.int64)])
 
 
 def ranked(text: str | None, most: int = PROFILE) -> np.ndarray:
-    """The most frequent n-grams, most frequent first (ties: by packed value)."""
-    grams = ngrams(text)
-    if not len(grams):
-        return grams
-    grams.sort()
-    heads = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-    counts = np.diff(heads, append=len(grams))
-    if len(heads) > most:
+    """The most frequent n-grams, most frequent first (ties: by packed value).
+
+    A long text is counted in slices: memory follows its distinct n-grams.
+    """
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in _grams(text or ""):
+        part.sort()
+        heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        keys, times = part[heads], np.diff(heads, append=len(part))
+        if len(grams):
+            grams, at = np.unique(np.concatenate((grams, keys)), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate((counts, times)), minlength=len(grams)).astype(np.int64)
+        else:
+            grams, counts = keys, times
+    if len(grams) > most:
         least = np.partition(counts, len(counts) - most)[len(counts) - most]
-        heads, counts = heads[counts >= least], counts[counts >= least]
-    return grams[heads[np.argsort(-counts, kind="stable")[:most]]]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.argsort(-counts, kind="stable")[:most]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

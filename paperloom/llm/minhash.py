@@ -228,7 +228,8 @@ def _bucket_pairs(docs: DataFrame, members: DataFrame, labels: DataFrame, bands:
     others = members.where("n > 2 and id <> hub").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int")
-    rows = cut(others.join(mixed.select("bucket", slices.alias("g")), "bucket"), "mixed")
+    mixed = cut(mixed.select("bucket", slices.alias("g")), "buckets")
+    rows = cut(others.join(mixed, "bucket"), "mixed")
     sketches = cut(_needed(docs, cut(rows.select("id").distinct(), "ids"), wide=True).join(bands, "id"), "wide")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     sided = rows.select("bucket", "band", "id", "component", F.col("s"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
@@ -262,7 +263,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = cut(reps.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"]), "sketches")
 
     banded = sketches.select("id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # from a file, so that the join either broadcasts them or splits the rows of a hot bucket
+    buckets = cut(banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = cut(banded.join(buckets, "bucket"), "members")
     slim = sketches.select("id", "sketch")
 
@@ -281,6 +283,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that have a smaller one in their group."""
+    """``docs`` without the documents that have a smaller one in their group.
+
+    Rows without doc_id, null and blank texts stay, as they are linked with
+    nothing; rows that share a doc_id stay or go together.  No rows, no result.
+    """
     gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

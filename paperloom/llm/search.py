@@ -38,7 +38,7 @@ def _term_counts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.
         if not len(start):
             yield first, last, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), lengths
             continue
-        h = V.Hasher(low).ranges(start, end)
+        h = V.word_hashes(low, start, end)
         bounds = np.concatenate(([0], np.cumsum(lengths)))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if b - a > 1:

@@ -31,8 +31,6 @@ LEAST_TRUST = 0.6
 UNSEEN, UNSEEN_LONG, LONG_LETTERS = 0.65, 0.85, 8
 #: Share of toxic documents, classes weighed alike, from which a term is in the lexicon.
 PRECISION = 0.95
-#: Terms and stems of the lexicon at most (those in the most toxic documents).
-LEXICON = 2000
 STEM_LETTERS = (4, 5, 6, 7)
 #: Different words that a stem must have in toxic documents.
 STEM_FORMS = 5
@@ -277,8 +275,9 @@ def _share(toxic, clean, weight: float):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Lexicon and trust from labelled rows outside the held-out fold.
 
-    Only the lexicon (LEXICON entries at most) and the trust in each come to the
-    driver; word counts stay distributed.
+    Only the lexicon and the trust in each entry come to the driver: words that
+    are significant in at most ``sample`` documents of each class.  Word counts
+    stay distributed.
     """
     counts = _word_counts(docs, labels, sample)
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.countDistinct("doc_id").alias("n"))
@@ -292,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ratio = 2 * (part(F.col("toxic"), base) + part(F.col("clean"), 1 - base))
 
     def good(df: DataFrame) -> list[str]:
-        return [r[0] for r in df.where((share >= PRECISION) & (ratio >= SIGNIFICANT)).orderBy(F.desc("toxic"), "word").limit(LEXICON).collect()]
+        return [r[0] for r in df.where((share >= PRECISION) & (ratio >= SIGNIFICANT)).orderBy(F.desc("toxic"), "word").collect()]
 
     letters = counts.where(F.col("word").rlike(r"^\p{L}+$"))
     forms = letters.where("toxic > 0").select(F.explode(F.array(*[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit(STEM))) for n in STEM_LETTERS])).alias("word")).where("word is not null").groupBy("word").count().where(F.col("count") >= STEM_FORMS)

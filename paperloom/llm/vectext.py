@@ -45,7 +45,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n."""
+    """base**i and base**-i modulo 2**64 for i <= n; kept only up to the size of a block."""
     have = _powers.get(which)
     if have is None or len(have[0]) <= n:
         size = max(n + 1, BLOCK_BYTES + 1)
@@ -63,7 +63,9 @@ def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
                 step = _U((int(step) * int(step)) & ((1 << 64) - 1))
                 done += take
             tables.append(out)
-        have = _powers[which] = (tables[0], tables[1])
+        have = tables[0], tables[1]
+        if size <= BLOCK_BYTES + 1:
+            _powers[which] = have
     return have
 
 
@@ -84,6 +86,34 @@ class Hasher:
         return mix64(raw + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """Hashes of words in order, as ``Hasher(data).ranges(start, end)`` gives them.
+
+    A long text is hashed in segments of ``limit`` bytes, a longer word piece by
+    piece: memory follows the number of words, not of bytes.
+    """
+    if len(data) <= limit:
+        return Hasher(data).ranges(start, end)
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + limit, side="right"))
+        if j > i:
+            base = int(start[i])
+            out[i:j] = Hasher(data[base : int(end[j - 1])]).ranges(start[i:j] - base, end[i:j] - base)
+        else:  # one word of more than limit bytes
+            j, size = i + 1, int(end[i] - start[i])
+            raw, shift = 0, 1
+            for at in range(int(start[i]), int(end[i]), limit):
+                piece = data[at : min(at + limit, int(end[i]))]
+                forward, _ = _power_tables(len(piece), 0)
+                raw += shift * int((_BYTE_CODES[0][piece] * forward[: len(piece)]).sum(dtype=np.uint64))
+                shift = shift * pow(_BASE[0], len(piece), 1 << 64) % (1 << 64)
+            out[i : i + 1] = mix64(np.array([(raw + size * 0xA24BAED4963EE407) % (1 << 64)], np.uint64))
+        i = j
+    return out
+
+
 def text_blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Split an Arrow string column into blocks of at most ``limit`` bytes.
 
@@ -184,7 +214,7 @@ def shingle_sets(column, size: int = 5) -> Iterator[tuple[int, int, np.ndarray,
     for first, last, data, offsets in text_blocks(column):
         low = LOWER[data]
         start, end, row = words(low, offsets)
-        tokens = Hasher(low).ranges(start, end) if len(start) else np.zeros(0, np.uint64)
+        tokens = word_hashes(low, start, end) if len(start) else np.zeros(0, np.uint64)
         h, r = shingles(tokens, row, last - first, size)
         sets, bounds = distinct_sorted(h, r, last - first)
         yield first, last, sets, bounds

@@ -154,6 +154,30 @@ def naive_profile(texts, most):
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))[:most]]
 
 
+def test_long_texts_in_slices(monkeypatch):
+    """What is counted or hashed piece by piece equals the whole."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcé ,\n1Σ") for _ in range(n)) for n in (0, 1, 5, 49, 50, 51, 400)] + ["x" * 300, " " * 120, "ab" * 100 + " . " + "cd" * 90]
+    whole = [(sorted(langid.ngrams(t).tolist()), langid.ranked(t, 20).tolist()) for t in texts]
+    monkeypatch.setattr(langid, "SLICE", 50)
+    assert [(sorted(langid.ngrams(t).tolist()), langid.ranked(t, 20).tolist()) for t in texts] == whole
+    for t in texts[1:]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        start, end, _ = vectext.words(data, np.array([0, len(data)]))
+        if len(start):
+            want = vectext.Hasher(data).ranges(start, end)
+            for limit in (1, 7, 64):
+                assert (vectext.word_hashes(data, start, end, limit) == want).all()
+
+
+def test_a_text_of_many_megabytes():
+    """Memory follows words and distinct n-grams: 100 MB in a row of its own."""
+    text = "some words of a long text. " * 4_000_000
+    assert len(text) > 100 << 20 and langid.Scorer({"en": langid.ranked("some words of a long text"), "xx": langid.ranked("zzz")}).predict(text)[0] == "en"
+    [(_, _, sets, bounds)] = list(vectext.shingle_sets(pa.array([text[: 27 * 1_000_000]])))
+    assert len(sets) == 6 and bounds.tolist() == [0, 6]
+
+
 def test_langid(spark):
     rows = languages()
     df = spark.createDataFrame([(i, t, lang, None) for i, lang, t in rows] + [(i, t, None, None) for i, t in EDGES], DOCS).withColumn("score", F.lit("clash"))
