@@ -1,4 +1,11 @@
-"""Exact top-k BM25 search: an inverted index for each shard, block-max WAND, exact merge."""
+"""Exact top-k BM25 search: an inverted index for each shard, bounds from greatest impacts, exact merge.
+
+A shard is some megabytes of text.  Documents of equal words form a block of the
+index; a block's bound is the sum of its impacts, for words that many blocks
+have as one product of matrices in single precision, for a whole pack of
+queries at once.  A block is opened and scored exactly only if its bound
+reaches the k-th score known so far, which goes from shard to shard.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +23,16 @@ from paperloom.llm.common import cut, small_batches
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Postings of a shard, about, and queries that a task runs on it.
-SHARD_POSTINGS = 1_000_000
-QUERY_BLOCK = 20_000
+#: Bytes of text and documents of a shard, at most (one longer text is a shard of its own).
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 60_000
+#: Bytes of index that a task holds, about; and queries that meet the index at a time.
+GROUP_BYTES, QUERY_BLOCK = 96 << 20, 20_000
 #: Queries that travel as one row, in which their numbers are 16-bit words.
 PACK = 1000
-#: Documents of a block, whose greatest impacts are kept; blocks of the first wave.
-BLOCK, WAVE = 64, 16
-#: Postings of an entry, on average, from which bounds pay.
-DENSE = 8
+#: Share of a shard's blocks from which a word's impacts are a row of the matrix.
+DENSE = 0.05
+#: What single precision may take off a bound.
+SLACK = 1e-4
 #: Bits of the filter of query terms that thins postings (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -74,17 +83,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total_docs], pa.int64()), pa.array([total_words], pa.int64())], names=["term", "df", "words"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(id, term, tf, length) of each term of each row; only terms in the filter, if any."""
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, tf, length) of each term of each row."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, _, terms, row, times, lengths in _term_counts(batch.column(1)):
-            if words is not None:
-                keep = np.ones(len(terms), dtype=bool)
-                for shift in (0, 32):
-                    g = (terms >> np.uint64(shift)) % np.uint64(FILTER_BITS)
-                    keep &= (words[(g >> np.uint64(5)).astype(np.int64)] >> (g & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-                terms, row, times = terms[keep], row[keep], times[keep]
             yield pa.RecordBatch.from_arrays([pa.array(ids[first + row].astype(np.int64)), pa.array(terms.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(lengths[row].astype(np.int32))], names=["id", "term", "tf", "length"])
 
 
@@ -98,46 +101,6 @@ def _filter_words(terms: DataFrame) -> np.ndarray:
     return out
 
 
-class ShardIndex:
-    """Postings lists of one shard in blocks of documents.
-
-    A block is BLOCK documents in id order.  Every (term, block) that has
-    postings is an entry with its place and its greatest impact.
-    """
-
-    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
-        self.ids, place = np.unique(doc, return_inverse=True)
-        order = np.lexsort((-impact, place, term))
-        order = order[np.concatenate(([True], (term[order][1:] != term[order][:-1]) | (place[order][1:] != place[order][:-1])))] if len(order) else order
-        term, self.place, self.impact = term[order], place[order], impact[order]
-        n = len(term)
-        block = self.place // BLOCK
-        fresh = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if n else np.zeros(0, np.int64)
-        self.entry = np.concatenate((fresh, [n])).astype(np.int64)
-        self.block = block[fresh]
-        self.greatest = np.maximum.reduceat(self.impact, fresh) if n else np.zeros(0)
-        heads = np.flatnonzero(np.concatenate(([True], term[fresh][1:] != term[fresh][:-1]))) if n else np.zeros(0, np.int64)
-        self.terms = term[fresh][heads]
-        self.first = np.concatenate((heads, [len(fresh)])).astype(np.int64)
-        self.blocks = int(block.max()) + 1 if n else 0
-
-    def entries(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the query's terms, in term order, and the weight of each."""
-        at = np.searchsorted(self.terms, terms)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == terms[known]
-        at = at[known]
-        counts = self.first[at + 1] - self.first[at]
-        return _ranges(self.first[at], counts), np.repeat(weights[known], counts)
-
-    def scores(self, entries: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact scores of all documents in the entries."""
-        counts = self.entry[entries + 1] - self.entry[entries]
-        postings = _ranges(self.entry[entries], counts)
-        places, at = np.unique(self.place[postings], return_inverse=True)
-        return places, np.bincount(at, weights=np.repeat(weights, counts) * self.impact[postings], minlength=len(places))
-
-
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + count[0] - 1, start[1] .. and so on."""
     if not len(count):
@@ -146,50 +109,201 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - ends + count, count)
 
 
-def wand(index: ShardIndex, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The k documents of greatest score (ties: least id), best first.
+class ShardIndex:
+    """Postings lists of one shard.
 
-    A block's bound is the sum of its entries' greatest weighted impacts.
-    Blocks are scored in waves, greatest bound first; once k documents are
-    known, a block whose bound lies below the k-th score is never opened.
-    Where entries hold hardly more than a posting each, as those of a long
-    query do, bounds cost as much as scores: all documents are scored at once.
+    ``members`` of a block are the documents that share its words, the least
+    ids first; ``repeats`` counts the ids that more than one block has.
     """
-    entries, w = index.entries(terms, weights)
-    if not len(entries):
-        return []
-    counts = index.entry[entries + 1] - index.entry[entries]
-    if counts.sum() < DENSE * len(entries):
-        postings = _ranges(index.entry[entries], counts)
-        scores = np.bincount(index.place[postings], weights=np.repeat(w, counts) * index.impact[postings], minlength=len(index.ids))
-        places = np.flatnonzero(scores > 0)
-        if len(places) > k:
-            places = places[scores[places] >= np.partition(scores, len(scores) - k)[len(scores) - k]]
-        places = places[np.lexsort((places, -scores[places]))[:k]]
-        return list(zip(scores[places].tolist(), index.ids[places].tolist()))
-    blocks = index.block[entries]
-    bounds = np.bincount(blocks, weights=w * index.greatest[entries], minlength=index.blocks)
-    order = np.argsort(-bounds, kind="stable")[: int((bounds > 0).sum())]
-    places, scores = np.zeros(0, np.int64), np.zeros(0)
-    done, wave = 0, WAVE
-    while done < len(order):
-        part = order[done : done + wave]
-        if len(scores) >= k:
-            # bounds add in another order than scores: the slack never cuts a tie
-            part = part[bounds[part] >= np.partition(scores, len(scores) - k)[len(scores) - k] * (1 - 1e-9) - 1e-9]
-            if not len(part):
-                break
-        chosen = np.zeros(index.blocks, dtype=bool)
-        chosen[part] = True
-        mine = chosen[blocks]
-        p, s = index.scores(entries[mine], w[mine])
-        places, scores = np.concatenate((places, p)), np.concatenate((scores, s))
-        if len(scores) > k:
-            best = np.lexsort((places, -scores))[:k]
-            places, scores = places[best], scores[best]
-        done, wave = done + wave, wave * 2
-    best = np.lexsort((places, -scores))
-    return list(zip(scores[best].tolist(), index.ids[places[best]].tolist()))
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
+        ids, place = np.unique(doc, return_inverse=True)
+        order = np.lexsort((-impact, place, term))
+        if len(order):
+            order = order[np.concatenate(([True], (term[order][1:] != term[order][:-1]) | (place[order][1:] != place[order][:-1])))]
+        terms, counts = np.unique(term[order], return_counts=True)
+        self._set(terms, counts, place[order], impact[order], ids, np.arange(len(ids) + 1))
+
+    @classmethod
+    def load(cls, row: dict, mean: float) -> ShardIndex:
+        """From a row that :func:`_shard` made."""
+        terms, counts, block, times, many, more, lengths, members, edges = (np.frombuffer(row[c], t) for c, t in _SHARD_ARRAYS.items())
+        tf = times.astype(np.float64)
+        tf[many] = more
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[block] / mean))
+        out = cls.__new__(cls)
+        out._set(terms, counts.astype(np.int64), block.astype(np.int64), impact, members, edges.astype(np.int64))
+        return out
+
+    def _set(self, terms: np.ndarray, counts: np.ndarray, place: np.ndarray, impact: np.ndarray, members: np.ndarray, edges: np.ndarray) -> None:
+        self.terms, self.counts, self.place, self.impact = terms, counts, place, impact
+        self.members, self.edges = members, edges
+        self.blocks = len(edges) - 1
+        self.repeats = len(members) - len(np.unique(members))
+        self.first = np.cumsum(counts) - counts
+        # the same postings by block, in the order of terms
+        order = np.argsort(place.astype(np.uint16) if self.blocks <= 1 << 16 else place, kind="stable")
+        self.block_term = np.repeat(np.arange(len(terms)), counts)[order]
+        self.block_impact = impact[order]
+        self.block_first = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=self.blocks))))
+        common = np.flatnonzero(counts >= max(8, DENSE * self.blocks))
+        self.row = np.full(len(terms) + 1, -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.blocks), np.float32)
+        for r, t in enumerate(common.tolist()):
+            mine = slice(self.first[t], self.first[t] + counts[t])
+            self.matrix[r, place[mine]] = impact[mine]
+        self.weight = np.zeros(len(terms))  # of the query at work
+
+    def score(self, block: int) -> float:
+        """The exact score of a block for the query in ``weight``; weights add up in the order of the terms."""
+        a, b = self.block_first[block], self.block_first[block + 1]
+        w = self.weight[self.block_term[a:b]]
+        used = w > 0
+        return float(np.cumsum(w[used] * self.block_impact[a:b][used])[-1])
+
+
+class Best:
+    """The k best (score, id) of each query of a pack so far; an id counts once."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.scores, self.ids = np.zeros((queries, k)), np.zeros((queries, k), np.int64)
+        self.have = np.zeros(queries, np.int64)
+
+    def floor(self, q: int) -> float:
+        return self.scores[q, -1] if self.have[q] == self.k else 0.0
+
+    def add(self, q: int, scores: list[float], ids: list[int]) -> None:
+        n = self.have[q]
+        s, d = np.concatenate((self.scores[q, :n], scores)), np.concatenate((self.ids[q, :n], ids)).astype(np.int64)
+        order = np.lexsort((d, -s))
+        _, once = np.unique(d[order], return_index=True)  # the best score of each id
+        order = order[np.sort(once)][: self.k]
+        self.have[q] = n = len(order)
+        self.scores[q, :n], self.ids[q, :n] = s[order], d[order]
+
+
+def search_pack(index: ShardIndex, edges: np.ndarray, terms: np.ndarray, weights: np.ndarray, best: Best) -> None:
+    """Let the queries terms[edges[q] : edges[q + 1]] (in order) meet one shard."""
+    if not index.blocks or not len(terms):
+        return
+    at = np.minimum(np.searchsorted(index.terms, terms), len(index.terms) - 1)
+    known = np.flatnonzero(index.terms[at] == terms)
+    query = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[known]
+    at, weights = at[known], weights[known]
+    edges = np.searchsorted(query, np.arange(len(edges)))
+    row = index.row[at]
+    common = np.flatnonzero(row >= 0)
+    wide = np.zeros((len(edges) - 1, len(index.matrix)), np.float32)
+    wide[query[common], row[common]] = weights[common]
+    bounds = wide @ index.matrix
+    for q in range(len(edges) - 1):
+        mine = slice(edges[q], edges[q + 1])
+        if mine.start == mine.stop:
+            continue
+        rare = np.flatnonzero(row[mine] < 0) + mine.start
+        counts = index.counts[at[rare]]
+        postings = _ranges(index.first[at[rare]], counts)
+        bound = np.bincount(index.place[postings], weights=np.repeat(weights[rare], counts) * index.impact[postings], minlength=index.blocks) + bounds[q]
+        least = best.floor(q)
+        far = best.k + index.repeats  # so many blocks hold k different ids
+        if least == 0.0 and index.blocks > far:
+            least = float(np.partition(bound, index.blocks - far)[index.blocks - far]) * (1 - SLACK)
+        opened = np.flatnonzero((bound >= least * (1 - SLACK)) & (bound > 0))
+        if not len(opened):
+            continue
+        opened = opened[np.argsort(-bound[opened], kind="stable")]
+        index.weight[at[mine]] = weights[mine]
+        scores, ids = [], []
+        for n, block in enumerate(opened.tolist()):
+            if n % 64 == 63:  # many blocks: the floor may have risen
+                best.add(q, scores, ids)
+                scores, ids = [], []
+                if bound[block] < best.floor(q) * (1 - SLACK):
+                    break
+            score = index.score(block)
+            members = index.members[index.edges[block] : index.edges[block + 1]].tolist()
+            scores += [score] * len(members)
+            ids += members
+        best.add(q, scores, ids)
+        index.weight[at[mine]] = 0.0
+
+
+def wand(index: ShardIndex, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """The k documents of greatest score (ties: least id) for one query, best first."""
+    best = Best(1, k)
+    search_pack(index, np.array([0, len(terms)]), terms, weights, best)
+    n = best.have[0]
+    return list(zip(best.scores[0, :n].tolist(), best.ids[0, :n].tolist()))
+
+
+#: Arrays of a shard's row: terms, postings of each; of each posting the block and the times the
+#: word occurs (255: see many and more); words of each block, its ids and where they begin.
+_SHARD_ARRAYS = {"terms": np.uint64, "counts": np.uint32, "block": np.uint16, "times": np.uint8, "many": np.uint32, "more": np.uint32, "lengths": np.uint32, "members": np.int64, "edges": np.uint32}
+_SHARD = pa.schema([("shard", pa.int64()), ("bytes", pa.int64()), *[(c, pa.binary()) for c in _SHARD_ARRAYS]])
+
+
+def _shard(number: int, ids: np.ndarray, terms: np.ndarray, row: np.ndarray, times: np.ndarray, lengths: np.ndarray, k: int) -> pa.RecordBatch:
+    """One shard as a row.  Documents of equal words (a 128-bit sum of their hashes) are one block,
+    of which the k least ids can be results."""
+    sums = []
+    for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        marks = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix64(terms * np.uint64(salt) + times.astype(np.uint64)))))
+        sums.append(marks)
+    edges = np.searchsorted(row, np.arange(len(ids) + 1))
+    a, b = (m[edges[1:]] - m[edges[:-1]] for m in sums)
+    full = np.flatnonzero(edges[1:] > edges[:-1])
+    full = full[np.lexsort((ids[full], lengths[full], b[full], a[full]))]
+    fresh = np.ones(len(full), dtype=bool)
+    fresh[1:] = (a[full][1:] != a[full][:-1]) | (b[full][1:] != b[full][:-1]) | (lengths[full][1:] != lengths[full][:-1])
+    block = np.full(len(ids), -1)
+    heads = full[fresh]
+    block[heads] = np.arange(len(heads))
+    of = np.cumsum(fresh) - 1
+    distinct = np.concatenate(([True], (of[1:] != of[:-1]) | (ids[full][1:] != ids[full][:-1]))) if len(full) else np.zeros(0, bool)
+    of, members = of[distinct], ids[full][distinct]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    of, members = of[place < k], members[place < k]
+    keep = np.flatnonzero(block[row] >= 0)
+    keep = keep[np.argsort(terms[keep], kind="stable")]
+    found, counts = np.unique(terms[keep], return_counts=True)
+    times = times[keep]
+    many = np.flatnonzero(times >= 255)
+    values = [found, counts, block[row[keep]], np.minimum(times, 255), many, times[many], lengths[heads], members, np.searchsorted(of, np.arange(len(heads) + 1))]
+    raw = [v.astype(t).tobytes() for v, t in zip(values, _SHARD_ARRAYS.values())]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, raw))], pa.int64()), *[pa.array([x], pa.binary()) for x in raw]], schema=_SHARD)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], words: np.ndarray, k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The shards of a task's documents, of ``most`` bytes of text about; only terms in the filter are kept."""
+    number = TaskContext.get().partitionId() << 32
+    held: list[tuple] = []
+    size = docs = 0
+
+    def flush() -> pa.RecordBatch:
+        starts = np.concatenate(([0], np.cumsum([len(x[0]) for x in held])))
+        ids, terms, row, times, lengths = ([x[n] for x in held] for n in range(5))
+        out = _shard(number, np.concatenate(ids), np.concatenate(terms), np.concatenate([r + s for r, s in zip(row, starts)]), np.concatenate(times), np.concatenate(lengths), k)
+        held.clear()
+        return out
+
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = batch.column(1)
+        for first, last, terms, row, times, lengths in _term_counts(texts):
+            bytes_here = int(lengths.sum()) * 6
+            if held and (size + bytes_here > most or docs + last - first > SHARD_DOCS):
+                yield flush()
+                number, size, docs = number + 1, 0, 0
+            keep = np.ones(len(terms), dtype=bool)
+            for shift in (0, 32):
+                g = (terms >> np.uint64(shift)) % np.uint64(FILTER_BITS)
+                keep &= (words[(g >> np.uint64(5)).astype(np.int64)] >> (g & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+            held.append((ids[first:last], terms[keep], row[keep], times[keep], lengths))
+            size, docs = size + bytes_here, docs + last - first
+    if held:
+        yield flush()
 
 
 _PACK = pa.schema([("pack", pa.int32()), ("ids", pa.binary()), ("terms", pa.binary()), ("weights", pa.binary()), ("asked", pa.binary()), ("members", pa.binary())])
@@ -201,6 +315,7 @@ def _packed(table: pa.Table) -> pa.Table:
     known, member = np.unique(ids, return_inverse=True)
     if len(known) > 1 << 16:
         raise ValueError("a pack holds more than 65,536 queries")
+    terms = terms.view(np.uint64)
     order = np.lexsort((member, terms))
     terms, weights, member = terms[order], weights[order], member[order]
     heads = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
@@ -209,27 +324,29 @@ def _packed(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([table.column("pack")[0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], schema=_PACK)
 
 
-def _unpacked(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, its terms in order, their weights) of each query of a pack."""
-    ids, terms, weights, asked, member = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("terms", np.int64), ("weights", np.float64), ("asked", np.uint32), ("members", np.uint16)))
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The queries of a pack, where each begins, their terms in order and the weights."""
+    ids, terms, weights, asked, member = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("terms", np.uint64), ("weights", np.float64), ("asked", np.uint32), ("members", np.uint16)))
+    at = np.repeat(np.arange(len(terms)), asked)
     order = np.argsort(member, kind="stable")  # terms stay in order
-    at = np.repeat(np.arange(len(terms)), asked)[order]
-    edges = np.concatenate(([0], np.cumsum(np.bincount(member, minlength=len(ids))))).tolist()
-    for i, query in enumerate(ids.tolist()):
-        mine = at[edges[i] : edges[i + 1]]
-        yield query, terms[mine], weights[mine]
-
-
-def _search_shard(postings: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    index = ShardIndex(*(postings.column(c).to_numpy() for c in ("term", "id", "impact")))
-    out_q, out_d, out_s = [], [], []
-    for n in range(len(queries)):
-        for query, terms, weights in _unpacked({c: queries.column(c)[n].as_py() for c in _PACK.names}):
-            found = wand(index, terms, weights, k)
-            out_q += [query] * len(found)
-            out_d += [d for _, d in found]
-            out_s += [x for x, _ in found]
-    return pa.table([pa.array(out_q, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "doc_id", "score"])
+    return ids, np.concatenate(([0], np.cumsum(np.bincount(member, minlength=len(ids))))), terms[at[order]], weights[at[order]]
+
+
+def _search_group(shards: pa.Table, packs: pa.Table, mean: float, k: int) -> pa.Table:
+    """query_id, doc_id, score: the k best of some shards for every query."""
+    asked = [_unpacked({c: packs.column(c)[n].as_py() for c in _PACK.names}) for n in range(len(packs))]
+    best = [Best(len(ids), k) for ids, *_ in asked]
+    for n in range(len(shards)):
+        index = ShardIndex.load({c: shards.column(c)[n].as_py() for c in _SHARD_ARRAYS}, mean)
+        for (_, edges, terms, weights), found in zip(asked, best):
+            search_pack(index, edges, terms, weights, found)
+    q, d, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for (ids, *_), found in zip(asked, best):
+        there = np.arange(k) < found.have[:, None]
+        q.append(np.repeat(ids, found.have))
+        d.append(found.ids[there])
+        s.append(found.scores[there])
+    return pa.table([pa.array(np.concatenate(x)) for x in (q, d, s)], names=["query_id", "doc_id", "score"])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int | None = None) -> DataFrame:
@@ -243,14 +360,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int |
     those of all rows that have a word.  A score adds weights in the order of
     the words' hashes.  Ties go to the smaller doc_id.
 
-    Postings of query words are dealt into shards by doc_id; a shard builds its
-    index and returns its ``k`` best for each query, so the merge of all shards
-    is exact.  A filter of fixed size drops
-    the postings of words that no query has.
+    Every task makes shards of the documents it reads, in which the words of no
+    query are left out; shards are dealt to groups, all queries visit every group,
+    and a group returns its ``k`` best, so the merge of all groups is exact.
+    Queries come in blocks of bounded number, one after the other.
 
     Null and blank texts, and rows without doc_id, are no results and ask
-    nothing.  Rows that share a doc_id are one result; a word counts as in the
-    row where its impact is greatest.  Other columns are ignored.
+    nothing.  Rows that share a doc_id are one result, with the score of the best
+    of them; as queries their words are put together.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -261,8 +378,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int |
     mean = mean or 1.0
 
     asked = queries.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    terms = asked.mapInArrow(lambda batches: _postings(batches, None), "id long, term long, tf int, length int")
+    terms = asked.mapInArrow(_postings, "id long, term long, tf int, length int")
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    terms = terms.groupBy("id", "term").agg(F.sum("tf").alias("tf"))  # rows of one doc_id ask as one
     weighed = terms.join(counted.select("term", "df"), "term").withColumn("weight", idf)
     if query_terms is not None:
         best = Window.partitionBy("id").orderBy(F.desc(F.col("tf") * F.col("weight")), "term")
@@ -271,24 +389,29 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int |
 
     wanted = picked.select("term").distinct()
     shared = spark.sparkContext.broadcast(_filter_words(wanted))
-    thin = usable.mapInArrow(lambda batches: _postings(batches, shared.value), "id long, term long, tf int, length int")
-    impact = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean)))
-    postings = cut(thin.select("term", "id", impact.alias("impact")), "postings")  # a few of other terms too: nobody asks for them
-    shards = max(spark.sparkContext.defaultParallelism, math.ceil(postings.count() / SHARD_POSTINGS))
+    fields = ", ".join(["shard long", "bytes long", *[f"{c} binary" for c in _SHARD_ARRAYS]])
+    most = SHARD_BYTES
+    shards = cut(usable.mapInArrow(lambda batches: _shards(batches, shared.value, k, most), fields), "shards")
+    size = shards.agg(F.sum("bytes")).first()[0] or 0
+    groups = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / GROUP_BYTES))
+    dealt = shards.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
+    # all queries visit every group; packs keep the rows that are copied few
     asking = picked.select("query_id").distinct().count()
-    blocks = max(1, math.ceil(asking / QUERY_BLOCK))
-    dealt = postings.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    # every shard gets every query; packs keep the rows that are copied few
     packs = max(1, math.ceil(asking / PACK))
     numbered = picked.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int"))
     packed = cut(numbered.groupBy("pack").applyInArrow(_packed, "pack int, ids binary, terms binary, weights binary, asked binary, members binary"), "packs")
-    routed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("place"), F.pmod("pack", F.lit(blocks)).alias("part"), *_PACK.names)
-    # postings once for each block of queries: a task holds one shard and one block
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def shard_search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search_shard(left, right, k)
+    blocks = max(1, math.ceil(asking / QUERY_BLOCK))
 
-    found = dealt.groupBy("shard", "block").cogroup(routed.groupBy("place", "part")).applyInArrow(shard_search, "query_id long, doc_id long, score double")
+    def group_search(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _search_group(left, right, mean, k)
+
+    found = None
+    for block in range(blocks):
+        some = packed if blocks == 1 else packed.where(F.pmod("pack", F.lit(blocks)) == block)
+        routed = some.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("place"), *_PACK.names)
+        part = dealt.groupBy("group").cogroup(routed.groupBy("place")).applyInArrow(group_search, "query_id long, doc_id long, score double")
+        part = part if blocks == 1 else cut(part, "found")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -439,6 +439,35 @@ def test_search_asks_with_the_whole_text(spark):
     assert got == {q: [(d, round(s, 6)) for d, s in x] for q, x in naive_search(rows, asked, 10, None).items()}
 
 
+def test_search_of_copies_and_repeated_ids(spark, monkeypatch):
+    """Many copies, ids that several rows have, words that occur often, and shards of a few rows."""
+    rng = random.Random(31)
+    rows = near_copies(30, 5, seed=14)
+    rows += [(1000 + i, rows[3][1]) for i in range(40)] + [(2000 + i % 7, rows[5 + i][1]) for i in range(21)] + [(3000, "many " * 700 + "words"), (3020, "many words"), (3040, "")]
+    rng.shuffle(rows)
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t)
+    docs = [(i, Counter(words(t))) for i, x in texts.items() for t in x if words(t)]
+    n, mean = len(docs), sum(sum(c.values()) for _, c in docs) / len(docs)
+    df = Counter(w for _, c in docs for w in c)
+    idf = {w: math.log(1 + (n - x + 0.5) / (x + 0.5)) for w, x in df.items()}
+    want = {}
+    for q in (i for i in texts if i % 20 == 0 and any(words(t) for t in texts[i])):
+        asked = {w for t in texts[q] for w in words(t)}
+        scores = defaultdict(float)
+        for i, c in docs:
+            scores[i] = max(scores[i], sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in asked if w in c))
+        want[q] = [(i, round(s, 6)) for i, s in sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0])) if s][:10]
+    df = table(spark, rows).repartition(3)
+    for size in (search.SHARD_BYTES, 3000):
+        monkeypatch.setattr(search, "SHARD_BYTES", size)
+        got = defaultdict(list)
+        for r in search.search(df, df.where("doc_id % 20 = 0")).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
+        assert got == want
+
+
 def test_block_max_wand():
     rng = random.Random(10)
     for _ in range(30):
