@@ -21,8 +21,10 @@ MARK = "▁"
 SHIFT = 2.7
 #: A byte that no piece covers costs this much more than the rarest piece.
 BYTE_PENALTY = 10.0
-#: Longer words run through the trie's recurrence alone, byte by byte.
-LONG_WORD = 96
+#: Places (word, depth) that go into the trie at once; levels of the trie are made in groups of about so many.
+PLACES = 1 << 19
+#: Levels of fewer nodes are scored node by node, as array calls would cost more than they save.
+NARROW = 6
 _SLOTS = 1 << 20
 #: Distinct words whose counts a worker remembers between blocks (about 64 MB at most).
 REMEMBERED = 1 << 22
@@ -57,7 +59,6 @@ class Counter:
         self.slots = np.zeros(_SLOTS, dtype=bool)
         self.slots[(hashes >> np.uint64(44)).astype(np.int64)] = True
         self.byte_score = min(pieces.scores) - BYTE_PENALTY
-        self.lookup = dict(zip(pieces.raw, pieces.scores))
 
     def _piece_scores(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -np.inf)
@@ -67,61 +68,107 @@ class Counter:
         out[maybe[hit]] = self.scores[at[hit]]
         return out
 
-    def one(self, word: bytes) -> int:
-        """The recurrence for one word (long words)."""
-        best, count = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
-        for i in range(1, len(word) + 1):
-            best[i], count[i] = best[i - 1] + self.byte_score, count[i - 1] + 1
-            for n in range(1, min(i, self.longest) + 1):
-                s = self.lookup.get(word[i - n : i])
-                if s is not None:
-                    c = best[i - n] + s
-                    if c > best[i] or (c == best[i] and count[i - n] + 1 < count[i]):
-                        best[i], count[i] = c, count[i - n] + 1
-        return count[-1]
-
     def many(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Token counts of the words data[start:end] (the mark in front included).
 
-        Words go into a trie level by level: node d of a word is the hash of its
-        first d bytes.  A node's best score needs its ancestors and the pieces
-        that end there, and is computed once for all words that share it; a
-        word's count is its terminal node's.
+        Words go into a trie a group of levels at a time: the node of a word at
+        depth d is the hash of its first d bytes.  A node's best score needs its
+        ancestors and the pieces that end there, and is computed once for all
+        words that share it; a word's count is its terminal node's.  Of the
+        levels before a group only those that a piece reaches back to are kept,
+        so memory follows neither the depth of the trie nor the longest word.
         """
         size = end - start
         out = np.zeros(len(start), np.int64)
-        for k in np.flatnonzero(size > LONG_WORD).tolist():
-            out[k] = self.one(data[start[k] : end[k]].tobytes())
-        words = np.flatnonzero(size <= LONG_WORD)
-        words = words[np.argsort(-size[words], kind="stable")]
+        words = np.argsort(-size, kind="stable")
         if not len(words):
             return out
         hasher = V.Hasher(data)
         a, lengths = start[words], size[words]
-        depth = int(lengths[0])
-        node = [np.zeros(len(words), np.int64)]  # of each word, by depth
-        best, count = [np.zeros(1)], [np.zeros(1, np.int64)]
-        for d in range(1, depth + 1):
-            alive = int(np.searchsorted(-lengths, -d, side="right"))  # words are sorted by length
-            _, example, inverse = np.unique(hasher.ranges(a[:alive], a[:alive] + d), return_index=True, return_inverse=True)
-            node.append(inverse)
-            up = node[d - 1][example]
-            top, fewest = best[d - 1][up] + self.byte_score, count[d - 1][up] + 1
-            first = a[example]
-            for n in range(1, min(d, self.longest) + 1):
-                s = self._piece_scores(hasher.ranges(first + d - n, first + d))
-                at = np.flatnonzero(s > -np.inf)
-                if len(at):
-                    up = node[d - n][example[at]]
-                    c, m = best[d - n][up] + s[at], count[d - n][up] + 1
-                    better = (c > top[at]) | ((c == top[at]) & (m < fewest[at]))
-                    top[at[better]], fewest[at[better]] = c[better], m[better]
-            best.append(top)
-            count.append(fewest)
-            ended = np.flatnonzero(lengths[:alive] == d)
-            out[words[ended]] = fewest[inverse[ended]]
+        low, begin = 0, np.zeros(1, np.int64)  # first level kept; where each kept level begins in ``node``
+        node = np.zeros(len(words), np.int64)  # of each word, level after level
+        best, count = np.zeros(1), np.zeros(1, np.int64)  # of each node
+        first = 1
+        while first <= lengths[0]:
+            alive = int(np.searchsorted(-lengths, -first, side="right"))  # words are sorted by length
+            last = min(int(lengths[0]), first + max(PLACES // alive, 1) - 1)
+            each = np.searchsorted(-lengths, -np.arange(first, last + 1), side="right")
+            begins = np.cumsum(each) - each
+            level = np.repeat(np.arange(first, last + 1), each)
+            word = np.arange(len(level)) - np.repeat(begins, each)
+            made, example = _nodes(level, hasher.ranges(a[word], a[word] + level))
+            old = len(best)
+            begin = np.concatenate((begin, len(node) + begins))
+            node = np.concatenate((node, old + made))
+            at, of = level[example], word[example]  # depth and one word of each new node, by depth
+            up = node[begin[at - 1 - low] + of]
+            to, back, gain = self._ending_pieces(hasher, a[of], at)
+            source = node[begin[at[to] - back - low] + of[to]]
+            best = np.concatenate((best, np.zeros(len(at))))
+            count = np.concatenate((count, np.zeros(len(at), np.int64)))
+            steps = np.searchsorted(at, np.arange(first, last + 2))
+            pieces = np.searchsorted(to, steps)
+            for x, y, p, q in zip(steps[:-1].tolist(), steps[1:].tolist(), pieces[:-1].tolist(), pieces[1:].tolist()):
+                if y - x < NARROW:
+                    for k in range(x, y):
+                        score, fewest = best.item(up.item(k)) + self.byte_score, count.item(up.item(k))
+                        while p < q and to.item(p) == k:
+                            there = source.item(p)
+                            other = best.item(there) + gain.item(p)
+                            if other > score or (other == score and count.item(there) < fewest):
+                                score, fewest = other, count.item(there)
+                            p += 1
+                        best[old + k], count[old + k] = score, fewest + 1
+                    continue
+                byte = best[up[x:y]] + self.byte_score
+                top, fewest = byte, count[up[x:y]]
+                if q > p:
+                    here, there = to[p:q] - x, source[p:q]
+                    score = best[there] + gain[p:q]
+                    top = byte.copy()
+                    np.maximum.at(top, here, score)
+                    fewest = np.where(byte == top, fewest, np.iinfo(np.int64).max - 1)
+                    good = score == top[here]
+                    np.minimum.at(fewest, here[good], count[there[good]])
+                best[old + x : old + y], count[old + x : old + y] = top, fewest + 1
+            ended = np.arange(int(np.searchsorted(-lengths, -last)), alive)
+            out[words[ended]] = count[node[begin[lengths[ended] - low] + ended]]
+            keep = max(low, last + 1 - self.longest)
+            skip, low = int(begin[keep - low]), keep
+            node, begin = node[skip:], begin[-(last - keep + 1) :] - skip
+            gone = int(node[: begin[1] if len(begin) > 1 else None].min())
+            node, best, count = node - gone, best[gone:], count[gone:]
+            first = last + 1
         return out
 
+    def _ending_pieces(self, hasher: V.Hasher, begin: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that end at nodes: node, length of the piece, its score; by node.
+
+        Nodes are given by the place where an example word begins, and their depth, ascending.
+        """
+        found = []
+        for n in range(1, self.longest + 1):
+            deep = int(np.searchsorted(depth, n))
+            if deep == len(depth):
+                break
+            stop = begin[deep:] + depth[deep:]
+            s = self._piece_scores(hasher.ranges(stop - n, stop))
+            at = np.flatnonzero(s > -np.inf)
+            found.append((at + deep, np.full(len(at), n), s[at]))
+        to, back, gain = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(to, kind="stable")
+        return to[order], back[order], gain[order]
+
+
+def _nodes(level: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number the distinct (level, prefix hash): the number of each place, and a place of each number, by level."""
+    order = np.lexsort((prefix, level))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(level[order]) != 0) | (prefix[order][1:] != prefix[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
 
 class Memory:
     """Counts of words seen before, by hash."""

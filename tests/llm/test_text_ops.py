@@ -282,6 +282,21 @@ def test_token_counts(spark):
     assert [len(library.encode(w, add_special_tokens=False).ids) for w in plain] == [known[w.encode()] for w in plain]
 
 
+@pytest.mark.parametrize(("places", "narrow"), [(1, 0), (40, 0), (40, 1000), (1 << 19, 6)])
+def test_token_trie_in_groups_of_levels(monkeypatch, places, narrow):
+    """Words of any length share one trie, however many of its levels are made at once."""
+    monkeypatch.setattr(tokencount, "PLACES", places)
+    monkeypatch.setattr(tokencount, "NARROW", narrow)
+    rng = random.Random(23)
+    pieces = {b" ": -3.0, b" a": -2.5, **{bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5))): -rng.randint(1, 40) / 8 for _ in range(60)}}
+    counter = tokencount.Counter(tokencount.Pieces(list(pieces), list(pieces.values())))
+    stem = [rng.choice(b"abcd") for _ in range(700)]
+    texts = [b" " + bytes(stem[: rng.randint(0, 700)] + [rng.choice(b"abcd") for _ in range(rng.choice([0, 1, 3, 150]))]) for _ in range(60)]
+    ends = np.cumsum([len(t) for t in texts])
+    got = counter.many(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+    assert got.tolist() == [naive_tokens(t, pieces, counter.byte_score) for t in texts]
+
+
 def naive_spans(rows):
     """Bytes to remove, by document: all runs that occur before, here or elsewhere."""
     runs, first = [], {}
