@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.ranks import running_sum, source_key
@@ -18,13 +18,16 @@ END = "<|end|>"
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Every dialogue of ``turns`` (conv_id, turn, role, text) once for each participant.
 
-    Result: conv_id, perspective, part, n_turns, n_own, n_chars, own_chars,
-    rendered, masks.  The participant in ``perspective`` speaks as assistant,
+    Result: conv_id, perspective, part, offset, n_turns, n_own, n_chars,
+    own_chars, rendered, masks.  The participant in ``perspective`` speaks as assistant,
     every other one as a user with its name, and system turns stay system turns
     (the system is no participant).  ``masks`` lists the [start, end) characters
     of ``rendered`` to train on: the assistant's words and its end mark.  A
     dialogue of more than ``part_turns`` turns is split into parts, so no task
-    ever holds a whole long one; the parts in order are the dialogue.
+    ever holds a whole long one.  ``masks`` count from the part's first
+    character, ``offset`` is the number of the dialogue's characters before the
+    part: the parts joined in order, with masks moved by their offsets, are the
+    whole dialogue with its masks, whatever ``part_turns`` is.
 
     Turns are ordered by number (null last), then role and text.  A null role is
     the participant "unknown", a null text an empty one; repeated rows are turns
@@ -42,12 +45,11 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     head = F.when(F.col("role") == F.col("perspective"), F.lit("<|assistant|>")).when(F.col("role") == SYSTEM, F.lit("<|system|>")).otherwise(F.concat(F.lit("<|user:"), F.col("role"), F.lit("|>")))
     seen = seen.select("conv_id", "key", "perspective", F.expr(f"place div {part_turns}").alias("part"), "place", (F.col("role") == F.col("perspective")).alias("own"), F.concat(head, F.lit("\n")).alias("head"), F.concat("text", F.lit(END)).alias("body"))
     group = ["key", "perspective", "part"]
-    before = Window.partitionBy(*group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    width = F.length("head") + F.length("body") + 1
-    start = F.coalesce(F.sum(width).over(before), F.lit(0)) + F.length("head")
-    spans = seen.withColumn("start", start.cast("int")).withColumn("end", (start + F.length("body")).cast("int"))
-    made = spans.groupBy("conv_id", *group).agg(F.array_sort(F.collect_list(F.struct("place", "head", "body", "own", "start", "end"))).alias("turns"))
+    seen = running_sum(seen, group[:-1], "part", [F.col("place")], F.length("head") + F.length("body") + 1, "before")
+    made = seen.groupBy("conv_id", *group).agg(F.array_sort(F.collect_list(F.struct("place", "head", "body", "own", "before"))).alias("turns"), F.min("before").alias("offset"))
     rendered = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit("\n"))), "")
     own = F.filter("turns", lambda t: t["own"])
-    made = made.select("conv_id", "perspective", "part", F.size("turns").alias("n_turns"), rendered.alias("rendered"), F.transform(own, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("masks"))
-    return made.select("conv_id", "perspective", "part", "n_turns", F.size("masks").alias("n_own"), F.length("rendered").alias("n_chars"), F.aggregate("masks", F.lit(0), lambda a, m: a + m["end"] - m["start"]).alias("own_chars"), "rendered", "masks")
+    start = lambda t: t["before"] - F.col("offset") + F.length(t["head"])
+    masks = F.transform(own, lambda t: F.struct(start(t).cast("int").alias("start"), (start(t) + F.length(t["body"])).cast("int").alias("end")))
+    made = made.select("conv_id", "perspective", "part", "offset", F.size("turns").alias("n_turns"), rendered.alias("rendered"), masks.alias("masks"))
+    return made.select("conv_id", "perspective", "part", "offset", "n_turns", F.size("masks").alias("n_own"), F.length("rendered").alias("n_chars"), F.aggregate("masks", F.lit(0), lambda a, m: a + m["end"] - m["start"]).alias("own_chars"), "rendered", "masks")

@@ -122,9 +122,10 @@ seen AS (
          p.text || '<|end|>' AS body
   FROM placed p JOIN (SELECT DISTINCT conv_id, role FROM placed WHERE role <> 'system') s ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 spans AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start_at
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start_at,
+         coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM seen)
-SELECT conv_id, perspective, part::BIGINT AS part, count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_own,
+SELECT conv_id, perspective, part::BIGINT AS part, min(before) AS "offset", count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_own,
        length(string_agg(head || body || chr(10), '' ORDER BY place))::INT AS n_chars,
        coalesce(sum(length(body)) FILTER (own), 0)::INT AS own_chars,
        string_agg(head || body || chr(10), '' ORDER BY place) AS rendered,

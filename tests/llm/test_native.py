@@ -142,6 +142,12 @@ def test_chat(spark):
     assert {(r["conv_id"], r["perspective"], r["part"]): (r["rendered"], [tuple(m) for m in r["masks"]]) for r in got} == rotated(rows)
     for r in got:
         assert r["n_chars"] == len(r["rendered"]) and r["own_chars"] == sum(b - a for a, b in r["masks"]) and r["n_own"] == len(r["masks"])
+    whole = defaultdict(lambda: ("", []))
+    for r in sorted(got, key=lambda r: r["part"]):
+        text, masks = whole[r["conv_id"], r["perspective"]]
+        assert r["offset"] == len(text)
+        whole[r["conv_id"], r["perspective"]] = text + r["rendered"], [*masks, *((a + r["offset"], b + r["offset"]) for a, b in r["masks"])]
+    assert {(c, who, 0): x for (c, who), x in whole.items()} == rotated(rows, 10**6)
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
