@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import cut
 from paperloom.llm.ranks import running_sum, source_key
 
 #: Turns rendered into one row; longer dialogues give several parts.
@@ -39,7 +40,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     rows = turns.select("conv_id", source_key(F.col("conv_id").cast("string")).alias("key"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("turn") / TURN_BUCKET), F.lit((1 << 62))))
     order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    placed = running_sum(rows, ["key"], "bucket", order, F.lit(1), "place")
+    # in a file: the lengths of parts are summed from it without ordering the turns again
+    placed = cut(running_sum(rows, ["key"], "bucket", order, F.lit(1), "place").drop("bucket"), "turns")
     speakers = rows.where(F.col("role") != SYSTEM).select("key", F.col("role").alias("perspective")).distinct()
     seen = placed.join(speakers, "key")
     head = F.when(F.col("role") == F.col("perspective"), F.lit("<|assistant|>")).when(F.col("role") == SYSTEM, F.lit("<|system|>")).otherwise(F.concat(F.lit("<|user:"), F.col("role"), F.lit("|>")))
