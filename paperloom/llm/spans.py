@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import vectext as V
 from paperloom.llm.common import cut, small_batches
-from paperloom.llm.search import FILTER_BITS, _filter_words
+from paperloom.llm.search import _filter_words, _known
 
 #: Sentences of a run at least, and words of it at least (a run grows until it has both).
 RUN_SENTENCES = 3
@@ -74,14 +74,6 @@ def _units(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[heads], at[np.concatenate((heads[1:], [len(at)])) - 1] + PASSAGE, least[heads]
 
 
-def _known(words: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(terms), dtype=bool)
-    for shift in (0, 32):
-        g = (terms >> np.uint64(shift)) % np.uint64(FILTER_BITS)
-        keep &= (words[(g >> np.uint64(5)).astype(np.int64)] >> (g & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-    return keep
-
-
 class Block:
     """The words and sentences of some rows, and hashes of any range of words."""
 

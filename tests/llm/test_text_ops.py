@@ -483,6 +483,32 @@ def test_search_of_copies_and_repeated_ids(spark, monkeypatch):
         assert got == want
 
 
+def test_search_group_scores_what_all_shards_leave(monkeypatch):
+    """Bounds of all shards first: of eight shards about k blocks a query are scored, not k of each."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(20, 120))) for _ in range(800)]
+    docs = [Counter(words(t)) for t in texts]
+    df = Counter(w for c in docs for w in c)
+    idf = {w: math.log(1 + (800 - x + 0.5) / (x + 0.5)) for w, x in df.items()}
+    mean = sum(sum(c.values()) for c in docs) / 800
+    shards, hashes = [], {}
+    for n in range(8):
+        _, _, terms, row, times, lengths = next(search._term_counts(pa.array(texts[n * 100 : n * 100 + 100])))
+        shards.append(search._shard(n, np.arange(n * 100, n * 100 + 100), terms, row, times, lengths, 10))
+        for i in range(0, 100, 20):
+            hashes[n * 100 + i] = terms[row == i]
+    weight = {int(next(search._term_counts(pa.array([w])))[2][0]): x for w, x in idf.items()}
+    asked = [(q, int(t)) for q, x in hashes.items() for t in x]
+    pack = search._packed(pa.table({"pack": pa.array([0] * len(asked), pa.int32()), "query_id": [q for q, _ in asked], "term": pa.array(np.array([t for _, t in asked], np.uint64).view(np.int64)), "weight": [weight[t] for _, t in asked]}))
+    scored, scores = [], search.ShardIndex.scores
+    monkeypatch.setattr(search.ShardIndex, "scores", lambda self, blocks: scored.append(len(blocks)) or scores(self, blocks))
+    found = search._search_group(pa.Table.from_batches(shards), pack, mean, 10).to_pylist()
+    for q in hashes:
+        want = sorted(((sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in docs[q] if w in c), i) for i, c in enumerate(docs)), key=lambda x: (-round(x[0], 9), x[1]))[:10]
+        assert [(r["doc_id"], round(r["score"], 9)) for r in found if r["query_id"] == q] == [(i, round(s, 9)) for s, i in want]
+    assert sum(scored) <= 12 * len(hashes)
+
+
 def test_block_max_wand():
     rng = random.Random(10)
     for _ in range(30):
