@@ -55,13 +55,13 @@ def _units(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Word ranges of the units of all rows, and the least gram of each.
 
     A passage is PASSAGE words inside a row.  Consecutive passages with the same
-    least gram form a unit: so many words that two rows share a unit inside
+    least gram (the first of equal ones, so no unit holds a passage twice) form a unit: so many words that two rows share a unit inside
     whatever longer text they share, and only its ends are units of their own.
     """
     if len(tokens) < PASSAGE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sums, back = _sums(tokens, 0)
-    least = V.mix64((sums[GRAM:] - sums[:-GRAM]) * back[: len(tokens) - GRAM + 1])
+    least = at_start = V.mix64((sums[GRAM:] - sums[:-GRAM]) * back[: len(tokens) - GRAM + 1])
     grams, width = PASSAGE - GRAM + 1, 1
     while width < grams:
         step = min(width, grams - width)
@@ -70,7 +70,8 @@ def _units(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(at):
         return at, at, np.zeros(0, np.uint64)
     least = least[at]
-    heads = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]))))
+    left = at_start[at] == least  # the next passage doesn't hold this gram
+    heads = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | left[:-1])))
     return at[heads], at[np.concatenate((heads[1:], [len(at)])) - 1] + PASSAGE, least[heads]
 
 
@@ -126,6 +127,14 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarra
                 yield block, ids[first:last]
 
 
+def _fresh(h1: np.ndarray, row: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Which ranges (from word a) are the first of their hash in their row."""
+    out = np.ones(len(a), dtype=bool)
+    order = np.lexsort((a, h1, row))
+    out[order[1:]] = (h1[order][1:] != h1[order][:-1]) | (row[order][1:] != row[order][:-1])
+    return out
+
+
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, unit): the least gram and the hash of each unit."""
     for block, _ in blocks(batches):
@@ -168,10 +177,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch], repeated: np.ndarray, units: bo
             a, b = np.concatenate((a, more_a)), np.concatenate((b, more_b))
         h1, h2 = block.hashes(a, b)
         row = block.row[a]
-        fresh = np.ones(len(a), dtype=bool)  # a unit is a copy only of another document's
-        if n:
-            order = np.lexsort((a[:n], h1[:n], row[:n]))
-            fresh[order] = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (row[order][1:] != row[order][:-1])))
+        fresh = np.concatenate([_fresh(h1[part], row[part], a[part]) for part in (slice(n), slice(n, None))])
         keep = np.flatnonzero(_known(repeated, h1))
         columns = [ids[row], h1.view(np.int64), h2, fresh, *[x.astype(np.int32) for x in block.places(a, b)]]
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], schema=_RUNS)
@@ -188,7 +194,8 @@ def _passage_rows(batches: Iterator[pa.RecordBatch], grams: np.ndarray, firsts:
             continue
         at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
         h1, h2 = block.hashes(at, at + PASSAGE)
-        columns = [ids[block.row[at]], h1.view(np.int64), h2, np.ones(len(at), dtype=bool), *[x.astype(np.int32) for x in block.places(at, at + PASSAGE)]]
+        row = block.row[at]
+        columns = [ids[row], h1.view(np.int64), h2, _fresh(h1, row, at), *[x.astype(np.int32) for x in block.places(at, at + PASSAGE)]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_RUNS)
 
 
@@ -200,14 +207,15 @@ def repeated_spans(docs: DataFrame, passages: bool = False, within: bool = True)
     split at white space, A-Z lower-cased; white space doesn't matter).  A run's
     first occurrence, by doc_id and then position, stays; every other one is
     removed.  ``within`` false leaves alone what repeats in one document only:
-    a run goes if a smaller doc_id has it.  With ``passages`` so does every
-    passage of more than fifty words, wherever it starts and ends, that a smaller
-    doc_id has too; the registered query asks for them.  Overlapping and touching
+    a run goes if a smaller doc_id has it.  With ``passages`` the same holds for
+    every passage of more than fifty words, wherever it starts and ends; the
+    registered query asks for them.  Where occurrences overlap (a line over and
+    over), the later ones go as a whole.  Overlapping and touching
     runs of a document are joined into one span; source_doc_id is the least id
     that any of them occurs in first, and n_sentences counts those it cuts into.
 
-    Passages are compared by units (:func:`_units`): a unit that a smaller id has
-    is a copy as a whole.  Passages one by one are compared only where different
+    Passages are compared by units (:func:`_units`): a unit that a smaller id or
+    the document itself has before is a copy as a whole.  Passages one by one are compared only where different
     units share a least gram, and there only those of the first document of each
     unit, so a text of many copies is spelled out once.
 
@@ -232,9 +240,10 @@ def repeated_spans(docs: DataFrame, passages: bool = False, within: bool = True)
     if passages:
         firsts = send(seen.where("edge").select("h1", "source_doc_id").mapInArrow(_first_rows, "term long"))
         spelled = cut(usable.mapInArrow(lambda batches: _passage_rows(batches, grams.value, firsts.value), _COLUMNS), "passages")
-        others = spelled.groupBy("h1", "h2").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("_most")).where("source_doc_id < _most").drop("_most")
+        twice = F.min("doc_id") < F.max("doc_id")
+        others = spelled.groupBy("h1", "h2").agg(F.min("doc_id").alias("source_doc_id"), (twice | ~F.min("first_here") if within else twice).alias("_again")).where("_again").drop("_again")
         others = cut(others, "shared")
-        again = again.unionByName(spelled.join(others, ["h1", "h2"]).where("doc_id <> source_doc_id"))
+        again = again.unionByName(spelled.join(others, ["h1", "h2"]).where(copied))
     runs_out = again.select("doc_id", "start", "end", "sentence", (F.col("sentence") + F.col("sentences")).alias("after"), "word", (F.col("word") + F.col("words")).alias("last"), "source_doc_id")
     in_order = Window.partitionBy("doc_id").orderBy("word", "last")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)

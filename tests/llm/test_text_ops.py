@@ -410,6 +410,37 @@ def test_spans_across_documents(spark):
     assert all(got[i] - want[i] <= runs[i] for i in got) and 2000 not in got and got.keys() - {i for i, x in want.items() if x} <= runs.keys()
 
 
+def test_spans_query_within_and_across_documents(spark, tmp_path):
+    """The registered query: every 51 words and every sentence run that occur before, here or in a smaller doc_id."""
+    from paperloom.llm.queries import op9_substring_dedup
+
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(4, 7))) + rng.choice(["", "", "", "."])
+    some = lambda a, b: [word() for _ in range(rng.randint(a, b))]
+    passages = [some(51, 120) for _ in range(4)]
+    rows = [(i, " ".join([*some(0, 30), *rng.choice(passages), *some(0, 30)])) for i in range(0, 40, 2)]
+    for i in range(1, 30, 2):  # a passage twice, at times cut at its ends, or one that other documents have
+        p = rng.choice([some(70, 160), some(70, 160), passages[i % 4]])
+        rows.append((i, " ".join([*some(0, 30), *p, *some(1, 30), *p[rng.randint(0, 9) : len(p) - rng.randint(0, 9)], *some(0, 30)])))
+    rows += [(50, "the " * 90), (51, "own words. " * 30), (52, rows[0][1])]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(set)
+    for r in op9_substring_dedup(spark, str(tmp_path)).collect():
+        assert r["source_doc_id"] <= r["doc_id"]
+        got[r["doc_id"]].update(range(r["span_start"], r["span_end"]))
+    seen, want = set(), naive_spans(rows)
+    for i, t in sorted(rows):
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        for k in range(len(at) - 50):
+            w = tuple(t[a:b] for a, b in at[k : k + 51])
+            if w in seen:
+                want[i].update(range(at[k][0], at[k + 50][1]))
+            seen.add(w)
+    space = {i: {k for k, c in enumerate(t) if c == " "} for i, t in rows}
+    want = {i: x - space[i] for i, x in want.items() if x}
+    assert {i: x - space[i] for i, x in got.items()} == want and 50 in want and sum(i % 2 for i in want) > 10
+
+
 def naive_search(rows, asked, k, terms):
     docs = {i: Counter(words(t)) for i, t in rows if i is not None and words(t)}
     n, mean = len(docs), sum(sum(c.values()) for c in docs.values()) / max(1, len(docs))
