@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import citations as K
 from paperloom.functions import quality as Q
+from paperloom.functions import text as T
 from paperloom.operators import corpus as C
 
 GOOD = ("We propose a method and present results of the evaluation on data, cf.x and more. " * 60).strip()
@@ -54,3 +56,18 @@ def test_statistics(spark):
     row = C.acceptance(df).first()
     assert (row["total"], row["accepted"], row["rejected"]) == (3, 1, 2)
     assert sum(r["papers"] for r in C.rejection_histogram(df).collect()) == 2
+
+
+def test_long_runs(spark):
+    """Thousands of short words in a row, or of parts of a mark, don't overflow a regex stack."""
+    text = "ab cd " * 20000 + "end."
+    df = spark.createDataFrame([(text, "http://x.org/" + "a%20" * 20000 + " b \\cite" + " {c}" * 20000 + " [1" + ", 2" * 20000 + "]")], "text string, marks string")
+    assert df.select(Q.measures(F.col("text"))["short_runs"]).first()[0] == 1
+    assert df.select(T.remove_artifacts(F.substring_index("marks", " [1", 1))).first()[0] == "[URL] b  "
+    assert df.select(F.size(K.inline_citations(F.col("marks")))).first()[0] == 20001
+
+
+def test_ratio_is_rounded_as_binary(spark):
+    values = [k / 200 for k in range(200)] + [k / 8 for k in range(8)] + [a / 37 for a in range(37)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", Q._ratio(F.col("v")).alias("r")).collect()
+    assert [r["r"] for r in got] == [f"{r['v']:.2f}" for r in got]
