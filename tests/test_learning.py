@@ -14,6 +14,7 @@ from paperloom.operators import corpus as C
 from paperloom.operators import evaluation as E
 from paperloom.operators import learning as L
 from paperloom.operators import sections as X
+from paperloom.operators import tiles as X_TILES
 from paperloom.operators import vectors as V
 from paperloom.plans import learn as P
 from paperloom.session import spread
@@ -64,6 +65,41 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, V.nearest(df, df, 3).collect())) == want and len(want) == 120
 
 
+def test_tiles(spark, monkeypatch):
+    """Neighbours, silhouette and clusters in tiles equal brute force, with copies, and list no pairs."""
+    rng = random.Random(7)
+    points = {i: [round(rng.uniform(-2, 2), 1) for _ in range(3)] for i in range(150)}
+    points |= {200 + i: points[1] for i in range(40)}
+    df = spark.createDataFrame([(i, p, i % 4 if i % 10 else None) for i, p in points.items()], "vec_id int, embedding array<double>, label int")
+    monkeypatch.setattr(L, "near_pairs", None)
+    monkeypatch.setattr(X_TILES, "ROWS", 32)
+    near = {a: [b for b in points if math.dist(points[a], points[b]) <= 0.6] for a in points}
+    core, want = {a for a in points if len(near[a]) >= 4}, {}
+    for a in sorted(core):
+        todo = [] if a in want else [a]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = a
+                todo += [b for b in near[x] if b in core]
+    want = {a: want.get(a, min((want[b] for b in near[a] if b in core), default=-1)) for a in points}
+    assert {r["vec_id"]: r["cluster"] for r in L.dbscan(df, 0.6, 4).collect()} == want
+
+    order = lambda q: sorted(points, key=lambda b: (sum((x - y) ** 2 for x, y in zip(points[q], points[b], strict=True)), b))
+    found = V.nearest(df, df.where("vec_id % 20 = 0"), 5)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    assert got == {(q, r + 1): b for q in points if q % 20 == 0 for r, b in enumerate(order(q)[:5])}
+
+    labels = {i: i % 4 if i % 10 else None for i in points}
+    scores = []
+    for a in points:
+        means = {k: [math.dist(points[a], points[b]) for b in points if b != a and labels[b] == k] for k in range(4)}
+        own = means.pop(labels[a], None)
+        other = min(sum(m) / len(m) for m in means.values())
+        scores.append(0.0 if own is None else (other - sum(own) / len(own)) / max(other, sum(own) / len(own)))
+    assert V.silhouette(df).first()[0] == pytest.approx(sum(scores) / len(scores), abs=1e-9)
+
+
 def test_models(spark, tmp_path):
     rows = L.with_vectors(spark.createDataFrame([(i, [float(i % 2), float(i)], float(i % 2)) for i in range(20)], "vec_id int, embedding array<float>, label double"), "embedding")
     for model, kind in ((KMeans(k=2, seed=1).fit(rows), "KMeansModel"), (LogisticRegression().fit(rows), "LogisticRegressionModel")):
