@@ -33,7 +33,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.number_batches(chunks(spark, sf_dir).drop("text"), "doc_id", "chunk_id")
+    out = X.number_batches(chunks(spark, sf_dir).select("doc_id", "chunk_id", "char_count"), "doc_id", "chunk_id")
     return out.groupBy("batch").agg(F.count("*").alias("chunk_count"), F.sum("char_count").alias("chars"), F.min("doc_id").alias("first_doc"))
 
 

@@ -114,3 +114,15 @@ def test_statistics(spark):
     a, b = df.select(K.statistics(F.col("c")).alias("s")).collect()
     assert a["s"]["total_citations"] == 2 and a["s"]["has_doi"] and a["s"]["types"] == {"journal": 1, "conference": 1}
     assert b["s"]["total_citations"] == 0 and b["s"]["years_range"] is None
+
+
+def test_sections_stay_in_their_row(spark):
+    """No text is exchanged to find sections, and batches read chunks that were made once."""
+    df = spark.createDataFrame([(i, "Abstract\n" + "word " * 60 + "\n1. Introduction\n" + "more. " * 400) for i in range(5)], "doc_id long, text string")
+    found = X.extract_sections(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    chunks = X.chunk_sections(found)
+    numbered = X.number_batches(chunks, "doc_id", "chunk_id", 4)
+    assert "split(" not in numbered._jdf.queryExecution().executedPlan().toString()
+    order = [(r["doc_id"], r["chunk_id"]) for r in chunks.collect()]
+    assert {(r["doc_id"], r["chunk_id"]): r["batch"] for r in numbered.collect()} == {x: n // 4 for n, x in enumerate(sorted(order))}
