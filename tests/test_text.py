@@ -69,3 +69,9 @@ def test_names(spark):
     for name, want in ids.items():
         assert one(spark, T.arxiv_id_from_filename, name) == want
     assert one(spark, T.sanitize_filename, ' a<b>:"c/d ') == "a_b___c_d"
+
+
+def test_stray_characters(spark):
+    """Letters and digits of any script stay, in one class without a look behind."""
+    assert "(?<" not in T.STRAY
+    assert one(spark, T.remove_artifacts, "aß٣ 你☃é\u0301x😀_—z\x0b.") == "aß٣ 你 é x _ z\x0b."
