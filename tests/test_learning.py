@@ -100,6 +100,18 @@ def test_tiles(spark, monkeypatch):
     assert V.silhouette(df).first()[0] == pytest.approx(sum(scores) / len(scores), abs=1e-9)
 
 
+def test_terms_stay_with_their_document(spark):
+    """Weights exchange documents once, not their terms."""
+    docs = spark.createDataFrame([(i, "a b c".split() + ["a"] * i) for i in range(6)], "doc_id long, words array<string>")
+    terms = E.document_terms(docs, F.col("words"))
+    weights = E.tfidf(terms, E.vocabulary(terms, 6, 1, 1.0, 10), 6)
+    assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in weights.collect()}
+    assert got[2, "a"] == pytest.approx(3 / math.sqrt(11)) and got[2, "b"] == pytest.approx(1 / math.sqrt(11)) and len(got) == 18
+    topics = spark.createDataFrame([("t", "a", 1), ("t", "b", 2)], "topic string, term string, rank int")
+    assert E.u_mass(topics, terms).first()["u_mass"] == pytest.approx(math.log(7 / 6))
+
+
 def test_models(spark, tmp_path):
     rows = L.with_vectors(spark.createDataFrame([(i, [float(i % 2), float(i)], float(i % 2)) for i in range(20)], "vec_id int, embedding array<float>, label double"), "embedding")
     for model, kind in ((KMeans(k=2, seed=1).fit(rows), "KMeansModel"), (LogisticRegression().fit(rows), "LogisticRegressionModel")):
